@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.shingles import Hasher, set_id, texts
 from loomspark.operators.components import connected_components
@@ -164,7 +165,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, sid) for each row of ``docs`` (doc_id, text); sid names the row's set.
 
     Texts are lower-cased in A-Z and cut at [\\x20\\x09-\\x0D]. A row's set is its distinct ``width``-word
     shingles; the whole sequence, if shorter; empty without words. Rows link when their sets' Jaccard
@@ -222,10 +223,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = of_set.groupBy("component").agg(F.min("rid").alias("component_id"))
     named = of_set.join(least, "component").select("sid", "component_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").hint("merge").join(named, "sid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "sid", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component, with all its columns.
+
+    Rows without words all stay, and so do rows without a doc_id, as nothing names them. Of rows with the same
+    doc_id and text one stays; rows that share a doc_id but no links stay each.
+    """
+    found = jaccard_components(docs, width, percent)
+    first = materialize(found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again")), "jaccard-kept")
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST_IDS else first
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("doc_id").isNull()
+    kept = docs.where(~blank).join(first, docs["doc_id"] == first["_id"])
+    names = docs.columns
+    again = kept.where("_again").withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))).where("_i = 1")
+    return docs.where(blank).unionByName(kept.where("not _again").select(*names)).unionByName(again.select(*names))
+
+
 def brute_force(rows: list[tuple[int, str | None]], width: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:
     """The same result over a few rows with distinct ids, from all pairs. For tests."""
     sets = {}

@@ -19,9 +19,9 @@ class Hasher:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def words(self, text: bytes) -> np.ndarray:
+    def words(self, text: bytes, lower: bool = True) -> np.ndarray:
         """bytes.lower() and bytes.split() act on ASCII letters and on [\\x20\\x09-\\x0D] alone, whatever else the text holds."""
-        known, out = self.known, text.lower().split()
+        known, out = self.known, (text.lower() if lower else text).split()
         if len(known) > _KEEP:
             known.clear()
         digest = xxhash.xxh3_64_intdigest
