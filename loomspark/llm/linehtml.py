@@ -117,7 +117,7 @@ def extract(page: str | None) -> str:
     core = any(inside for *_, inside in found)
     weight = [(max(free, SURGE) if inside else 0) if core else (free if 2 * free >= len(text) else 0) for text, free, inside in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    surge = min(SURGE, max(sums))
+    surge = min(SURGE, (max(sums) + 1) // 2)
     if not surge:
         return ""
     # Runs of windows from a surge to the dive after it; the text is that from the first to the last run that carries a fair share.

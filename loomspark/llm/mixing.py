@@ -18,6 +18,7 @@ SHARD_WORDS = 1 << 16
 MAX_SHARDS = 4096
 #: The cuts have a row for each shard of a source; up to this number they are broadcast, beyond it joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
+OWN = ("_size", "_source_size", "_target", "_taken")
 
 
 def words(text: str = "text"):
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, b
 
     A null text has no words. Rows without doc_id or source take part like others; a row that is repeated is
     taken as often as its copies. No words at all give targets and takes of 0; an empty table gives no rows.
-    All columns of ``docs`` are kept; names with a leading underscore are this operator's.
+    All columns of ``docs`` are kept, but those named as this operator's own four.
 
     Driver memory: one row for each source, which is the size of the list of weights that the mix sets.
     """
@@ -128,19 +129,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, b
     )
     cuts = materialize(quota.select("k", "shard", "epochs").join(last, ["k", "shard"], "left"), "mix-cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST_ROWS else cuts
-    here = dealt(docs.select("*", *key)).join(cuts, ["k", "shard"])
+    keep = [c for c in docs.columns if c not in OWN]
+    here = dealt(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), "doc_id", "source", *key)).join(cuts, ["k", "shard"])
     # doc_id null sorts first.
     mine, end = F.struct("_h", "doc_id", "_size"), F.struct("lh", "ld", "ls")
     more = F.when(F.col("lh").isNull(), 0).when(mine < end, F.col("_size")).when(mine.eqNullSafe(end), F.col("part")).otherwise(0)
-    return here.select(*docs.columns, "_size", "_source_size", "_target", (F.col("epochs") * F.col("_size") + more).cast("long").alias("_taken"))
+    return here.select("_doc.*", "_size", "_source_size", "_target", (F.col("epochs") * F.col("_size") + more).cast("long").alias("_taken"))
 
 
 def taken_texts(mixed: DataFrame) -> DataFrame:
     """The mix as rows: a document once for each whole time it is taken, and its first words for a part."""
-    keep = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_taken")]
+    keep = [c for c in mixed.columns if c not in OWN]
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
     n = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    whole = mixed.where("_taken >= _size and _size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
+    whole = mixed.where("_taken >= _size and _size > 0").withColumn("_times_taken", F.explode(F.sequence(F.lit(1), n)))
     part = mixed.where("_size > 0 and _taken % _size > 0").withColumn("text", F.array_join(F.slice(pieces, 1, rest), ""))
     return whole.select(*keep).unionByName(part.select(*keep))
