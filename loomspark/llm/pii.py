@@ -23,7 +23,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Tokens that may be identifiers: letters, digits and joints, with an @ or four digits; and the word before one.
-TOKEN = r"(?:\G|(?<![A-Za-z0-9@._%+-]))(?=[A-Za-z0-9._%+-]*+[@0-9])[A-Za-z0-9@._%+-]++"
+TOKEN = r"(?:\G|(?<![A-Za-z0-9@._%+-]))(?=[A-Za-z._%+-]*+[@0-9])[A-Za-z0-9@._%+-]++"
 WORDS = r"[\x20\x09-\x0D]+"
 #: Different seeds that a pattern needs, the score it needs, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.7, 3
@@ -83,16 +83,16 @@ def joined(spans: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with the word before each, and the base kind that a token is, if any."""
-    raw = F.filter(_found(text, TOKEN, 9, ""), lambda x: x["value"].contains("@") | (F.length(_digits(x["value"])) >= 4))
+    """Base spans, with their kind, and identifier-like tokens that meet none, each with the word before it."""
+    alike = F.filter(_found(text, TOKEN, 9, ""), lambda x: x["value"].contains("@") | (F.length(_digits(x["value"])) >= 4))
+    others = F.filter(alike, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
 
     def one(x: Column) -> Column:
         a = F.greatest(F.lit(0), x["start"] - 64)
         left = F.lower(F.regexp_extract(F.substring(text, a + 1, x["start"] - a), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[\"'(\[<]?$", 1))
-        same = F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), left.alias("left"), F.element_at(F.concat(F.transform(same, lambda b: b["kind"]), F.array(F.lit(None).cast("string"))), 1).alias("kind"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), left.alias("left"), F.nullif(x["kind"], F.lit("")).alias("kind"))
 
-    return F.filter(F.transform(raw, one), lambda x: (x["left"] != "") & ~x["left"].rlike("[0-9@]"))
+    return F.filter(F.transform(F.concat(base, others), one), lambda x: (x["left"] != "") & ~x["left"].rlike("[0-9@]"))
 
 
 def _patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def masked(docs: DataFrame) -> DataFrame:
     found = materialize(found, "pii-mask")
     found = F.broadcast(found) if found.count() <= MAX_BROADCAST_ROWS else found
     key = F.unhex(F.md5(F.col("text").cast("binary")))
-    both = docs.join(found, (key == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(mask(docs["text"], F.col("_spans")))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    both = docs.join(found, (key == found["_key"]) & docs["doc_id"].eqNullSafe(found["_id"]), "left")
+    text = F.when(found["_spans"].isNull(), docs["text"]).otherwise(mask(docs["text"], found["_spans"]))
+    changed = {"text": text} | ({"n_chars": F.when(found["_spans"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return both.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
