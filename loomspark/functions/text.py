@@ -82,15 +82,20 @@ def mask_phones(text: Column) -> Column:
     return F.when(text.rlike(some), F.array_join(F.zip_with(gaps, F.transform(hits, hide), lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(text: Column) -> Column:
     """NFC and entities decoded, boilerplate cut, phones masked, blanks squeezed, lines and text stripped; null is ''."""
     t = mask_phones(strip_boilerplate(nfc_unescape(F.coalesce(text, F.lit("")))))
     t = F.regexp_replace(F.replace(t, F.lit("\r"), F.lit("\n")), "[ \t ]+", " ")
-    return F.regexp_replace(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), "\n"), r"(?U)^\s+|\s+$", "")
+    return strip(F.array_join(F.transform(F.split(t, "\n"), strip), "\n"))
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, SENTENCE), strip), lambda x: x != "")
 
 
 def slug(text: Column) -> Column:

@@ -120,10 +120,10 @@ def exact_permutation(diffs: DataFrame, keys: list[str]) -> DataFrame:
 def bootstrap_interval(values: DataFrame, keys: list[str], n: int = BOOTSTRAPS, seed: int = 7) -> DataFrame:
     """95 % percentile interval of the mean of (keys, i, d): hashed draws, bounds at the floor indices."""
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    picked = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("n")).cast("int")).join(values, [*keys, "i"])
-    means = picked.groupBy(*keys, "draw").agg(F.avg("d").alias("m"))
-    r = means.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "draw")) - 1)
+    draws = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_pick", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    picked = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "_draw", "_pick"), F.col("n")).cast("int")).join(values, [*keys, "i"])
+    means = picked.groupBy(*keys, "_draw").agg(F.avg("d").alias("m"))
+    r = means.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "_draw")) - 1)
     return r.groupBy(*keys).agg(F.max(F.when(F.col("r") == int(0.025 * n), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * n), F.col("m"))).alias("high"))
 
 

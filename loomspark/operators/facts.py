@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import SENTENCE, sha_key, token_estimate
+from loomspark.functions.text import SENTENCE, sha_key, strip, token_estimate
 
 #: Sizes in characters.
 CHUNK, OVERLAP, LEAST = 700, 120, 60
@@ -40,19 +40,19 @@ def pack_sentences(text: Column, size: int = CHUNK, overlap: int = OVERLAP, leas
 
     A fold over the text's sentences: what is packed next depends on what was packed before.
     """
-    t = F.trim(text)
-    parts = F.filter(F.transform(F.split(t, SENTENCE), F.trim), lambda s: s != "")
+    t = strip(text)
+    parts = F.filter(F.transform(F.split(t, SENTENCE), strip), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
     def step(acc: Column, s: Column) -> Column:
         full = (acc["now"] != "") & (F.length(acc["now"]) + F.length(s) + 1 > size)
         tail = F.substring(acc["now"], F.greatest(F.length(acc["now"]) - overlap, F.lit(0)) + 1, F.lit(overlap))
         return F.struct(
-            F.when(full, F.array_append(acc["out"], F.trim(acc["now"]))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.concat(tail, F.lit(" "), s)).otherwise(F.trim(F.concat(acc["now"], F.lit(" "), s))).alias("now"),
+            F.when(full, F.array_append(acc["out"], strip(acc["now"]))).otherwise(acc["out"]).alias("out"),
+            F.when(full, F.concat(tail, F.lit(" "), s)).otherwise(strip(F.concat(acc["now"], F.lit(" "), s))).alias("now"),
         )
 
-    packed = F.aggregate(parts, start, step, lambda acc: F.when(F.trim(acc["now"]) != "", F.array_append(acc["out"], F.trim(acc["now"]))).otherwise(acc["out"]))
+    packed = F.aggregate(parts, start, step, lambda acc: F.when(strip(acc["now"]) != "", F.array_append(acc["out"], strip(acc["now"]))).otherwise(acc["out"]))
     kept = F.filter(packed, lambda c: F.length(c) >= least)
     return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).when(F.size(kept) > 0, kept).otherwise(F.array(F.substring(t, 1, size)))
 
