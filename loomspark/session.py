@@ -28,9 +28,20 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     return spark
 
 
+#: Rows of a batch to Python. A text may take a hundred kilobytes, so Spark's own ten thousand are too many.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hold batches to ``rows`` unless the session asks for fewer already."""
+    if int(spark.conf.get(BATCH, "10000")) > rows or int(spark.conf.get(BATCH, "10000")) <= 0:
+        spark.conf.set(BATCH, str(rows))
+
+
 def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the folder. Python workers that start from now on find this package as the driver did."""
     root, seen = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in seen.get("PYTHONPATH", "").split(os.pathsep):
         seen["PYTHONPATH"] = os.pathsep.join(filter(None, [root, seen.get("PYTHONPATH", "")]))
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
