@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bounds of the training sample: rows of a language, characters of a row and of a language.
-ROWS, ROW_CHARS, CHARS = 48, 4_000, 60_000
+ROWS, ROW_CHARS, CHARS = 48, 2_000, 40_000
 MAX_BROADCAST_ROWS = 100_000
+_LETTERS = re.compile(r"[^\W\d_]+").findall
 _built: dict[tuple[tuple[str, str], ...], list] = {}
 
 
@@ -73,15 +75,16 @@ def phrases(text: str, start: dict) -> int:
     return n + (state is not start)
 
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+def letters(text: str) -> str:
+    """Lower-cased runs of letters, one space between them: marks and digits say nothing of a language."""
+    return " ".join(_LETTERS(text.lower()))
 
 
 def classify(text: str | None, languages: list[tuple[str, dict, float]]) -> tuple[str, float]:
     """Language and score: by how much the second best is dearer, as a share of its cost."""
-    if not text or not languages or not has_letter(text):
+    text = letters(text) if text and languages else ""
+    if not any(map(str.isalpha, text)):
         return "und", 0.0
-    text = text.lower()
     costs = sorted((phrases(text, start) * bits, name) for name, start, bits in languages)
     if len(costs) == 1:
         return costs[0][1], 1.0
@@ -112,8 +115,8 @@ def fit(docs: DataFrame, usable: Column, rows: int = ROWS, row_chars: int = ROW_
     ).toArrow().to_pylist()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"].lower())
-    return tuple((lang, "\n".join(texts)[:chars]) for lang, texts in sorted(by.items()))
+        by.setdefault(r["lang"], []).append(letters(r["text"]))
+    return tuple((lang, " ".join(texts)[:chars]) for lang, texts in sorted(by.items()))
 
 
 def _predict(model, keep_text: bool = False):

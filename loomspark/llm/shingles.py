@@ -10,7 +10,7 @@ import xxhash
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_KEEP = 1 << 20
+_KEEP = 1 << 18
 
 
 class Hasher:

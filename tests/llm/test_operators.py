@@ -216,3 +216,21 @@ def test_near_vectors_equal_brute_force(spark):
     assert 0 <= missed <= 0.1 * sum(a[1] for a in want) and [x[0] for x in have] == [x[0] for x in want]
     assert all(b[1] <= a[1] for a, b in zip(want, have)) and [b[2:] for b in have] == [a[2:] for a in want]
     assert capdedup.near_vectors(table.limit(0)).count() == 0
+
+
+def test_jaccard_near_copies_of_many_kinds(spark):
+    """Copies of a few texts with edits at random places: similarities on both sides of the threshold, prefixes that differ."""
+    rng = random.Random(7)
+    texts = []
+    for size in (20, 45, 60):
+        base = prose(rng, size).split()
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[f"e{rng.randrange(5)}"], [], [w[k], f"n{rng.randrange(9)}"]])
+            texts.append(" ".join(w))
+    named = list(enumerate(texts))
+    for width, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(documents(spark, [(i, t, None, None) for i, t in named]), width, percent).collect()}
+        assert got == jaccard.brute_force(named, width, percent)
