@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from loomspark.llm import jaccard, langid, mixing, packing, pii
 from loomspark.llm.queries import tokenizer_path
 from loomspark.scratch import materialize
-from loomspark.session import open_table
+from loomspark.session import open_table, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without text or letters go. lang becomes the predicted language."""
+    small_batches(spark)
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
     named = langid.assign(docs, model)
     return named.where("lang_pred <> 'und'").select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
@@ -24,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, width=5, percent=80)
 
 
@@ -40,6 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 ids."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
