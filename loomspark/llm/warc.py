@@ -205,7 +205,11 @@ def write_archives(pages: DataFrame) -> DataFrame:
     # Only groups of several pages are looked up, by a broadcast while they are few.
     firsts = materialize(pages.select("page_id", key).groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     firsts = F.broadcast(firsts) if firsts.count() <= MAX_BROADCAST_ROWS else firsts.hint("merge")
-    sample = [r[0].encode()[:SAMPLE_BYTES] for r in pages.where("html <> ''").select("html").orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE_PAGES).collect()]
+    # Of the pages, about four times the sample are let through by their hash before any is sent on.
+    share = max(1, pages.count() // (4 * SAMPLE_PAGES))
+    h = F.xxhash64("page_id", "url")
+    some = pages.where("html <> ''").where(F.pmod(h, F.lit(share)) == 0).select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), h.alias("h"))
+    sample = [r[0].encode()[:SAMPLE_BYTES] for r in some.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
     dictionary = pages.sparkSession.sparkContext.broadcast(train(sample))
     rows = pages.withColumn("_key", key).join(firsts, "_key", "left").withColumn("first", F.when(F.col("first") == F.col("page_id"), None).otherwise(F.col("first")))
     return rows.select("page_id", "url", "html", "first").mapInArrow(_written(dictionary), "name string, content binary")
