@@ -1,17 +1,16 @@
 """Near-duplicate vectors by spherical caps with structured random product codes.
 
 A direction is the concatenation of one codeword from each of ``PARTS`` small random codebooks, so a few
-codewords make very many directions, and the directions within a cap around a vector are list-decoded: sums
-of partial products are cut off where even the best codewords of the other parts cannot reach the cap. A
-vector belongs to the filter of each such direction; vectors are joined on filters and verified. The number
-of directions grows with the number of vectors, so a filter holds a few unrelated ones at any size.
+codewords make very many directions. A vector's cap is as high as lets in its ``FILTERS`` nearest directions;
+these are list-decoded from sorted partial products, of which only pairs of ranks i, j with i j <= FILTERS
+can be among them. A vector belongs to the filter of each direction in its cap; vectors are joined on filters
+and verified. The number of directions grows with the number of vectors, so a filter holds a few unrelated
+ones at any size. (With one height for all caps, half of the vectors have no direction in theirs.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,19 +20,17 @@ from loomspark.operators.components import connected_components
 from loomspark.scratch import materialize
 
 PARTS = 4
-#: Filters that a vector is expected in; unrelated vectors that a filter is expected to hold.
-FILTERS, LOAD = 14, 4
+#: Filters of a vector; unrelated vectors that a filter is expected to hold.
+FILTERS, LOAD = 16, 2
 #: Vectors of a filter that are compared at once; larger filters are dealt out as pairs of blocks.
 BLOCK = 512
 
 
 class Code:
-    """Codebooks and the cap's height for a number of vectors."""
+    """Codebooks for a number of vectors."""
 
-    def __init__(self, dim: int, vectors: int, seed: int = 11) -> None:
-        self.words = max(4, round((max(vectors, 1) * FILTERS / LOAD) ** (1 / PARTS)))
-        total = self.words**PARTS
-        self.height = NormalDist().inv_cdf(1 - min(0.5, FILTERS / total)) / dim**0.5
+    def __init__(self, dim: int, vectors: int, seed: int = 11, filters: int = FILTERS) -> None:
+        self.words, self.most = max(4, round((max(vectors, 1) * filters / LOAD) ** (1 / PARTS))), filters
         rng = np.random.default_rng(seed)
         self.cuts = [dim * k // PARTS for k in range(PARTS + 1)]
         self.books = []
@@ -41,24 +38,21 @@ class Code:
             w = rng.standard_normal((self.words, b - a))
             self.books.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / PARTS**0.5)
 
-    def filters(self, v: np.ndarray) -> list[np.ndarray]:
-        """Sorted numbers of all directions within the cap of each unit vector; of its nearest one if there is none."""
-        parts = [v[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
-        k, out = self.words, []
-        for row in range(len(v)):
-            left, right = [np.add.outer(parts[i][row], parts[i + 1][row]).ravel() for i in (0, 2)]
-            top = right.max()
-            order = np.argsort(-right)
-            ranked = right[order]
-            mine = np.flatnonzero(left + top >= self.height)
-            n = np.searchsorted(-ranked, left[mine] - self.height, side="right")
-            if not n.sum():
-                out.append(np.array([left.argmax() * k * k + order[0]], np.int64))
-                continue
-            first = np.repeat(mine, n)
-            second = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            out.append(np.sort(first.astype(np.int64) * k * k + second))
-        return out
+    def _best(self, values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest values of each row, in falling order, the smaller code first among equals, and their codes."""
+        order = np.lexsort((codes, -values), axis=1)[:, : self.most]
+        return np.take_along_axis(values, order, 1), np.take_along_axis(codes, order, 1)
+
+    def _sums(self, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest sums of one value of x and one of y: the sum of ranks i and j has (i + 1)(j + 1) - 1 sums before it at least."""
+        i, j = np.nonzero(np.multiply.outer(np.arange(1, x[0].shape[1] + 1), np.arange(1, y[0].shape[1] + 1)) <= self.most)
+        return self._best(x[0][:, i] + y[0][:, j], x[1][:, i] * size + y[1][:, j])
+
+    def filters(self, v: np.ndarray) -> np.ndarray:
+        """Sorted numbers of the directions in the cap of each unit vector."""
+        k = self.words
+        first = [self._best(p := v[:, a:b] @ book.T, np.broadcast_to(np.arange(k), p.shape)) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
+        return np.sort(self._sums(self._sums(first[0], first[1], k), self._sums(first[2], first[3], k), k * k)[1], axis=1)
 
 
 def _unit(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +77,7 @@ def _decoded(code, dim: int):
                 unit, good = _unit(part.column("embedding").to_pylist(), dim)
                 found = c.filters(unit[good])
                 ids = [x for x, g in zip(part.column("nid").to_pylist(), good, strict=True) if g]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([u.tobytes() for u in unit[good]], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(list(found), pa.list_(pa.int64()))], ["nid", "unit", "own", "filters"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([u.tobytes() for u in unit[good]], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["nid", "unit", "own", "filters"])
 
     return run
 
@@ -118,6 +112,8 @@ def _linked(cosine: float):
         near |= near.T
         links = near @ n
         has = np.flatnonzero(links)
+        if not len(has):
+            return [], [], []
         within = near[np.ix_(has, has)]
         root = np.arange(len(has))
         while True:  # the first vector that each reaches in this block; with it, a forest that keeps the block's components
