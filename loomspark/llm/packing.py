@@ -11,6 +11,7 @@ their rank among those of their length.
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -28,51 +29,55 @@ from loomspark.scratch import materialize
 Genes = dict[tuple[int, ...], int]
 MAX_SHARDS = 4096
 SHARD_ROWS = 512
-_CACHE = 400_000
+#: Fixed value: how byte-level BPE files split a text before merging.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordIds:
-    """Ids of whole texts from the ids of their space-led parts, which are remembered.
+class Ids:
+    """Ids of texts by a tokenizer's file, the end id last.
 
-    The tokenizer splits before a space that stands between two other characters, so the parts' ids joined are
-    the text's ids. Texts in which a space has white space on both sides go to the tokenizer whole.
+    Where the file is plain byte-level BPE, whose merges stand in the order of the ids they make, its
+    vocabulary is also a table of ranks, and the faster ranked encoder gives the same ids. Any other file, and
+    a text that holds one of the file's added tokens, goes to the tokenizer itself.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
-        import re
-
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s \s|^ \s|\s $").search
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, []
-        if len(known) > _CACHE:
-            known.clear()
-        new: set[str] = set()
-        for text in texts:
-            if self.odd(text):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-            split.append(parts)
-            new.update(x for x in parts if x not in known)
-        words = list(new)
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end)
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)) + self.end)
-        return out
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.ranked = self._ranked(spec)
+
+    def _ranked(self, spec: dict):
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or spec["normalizer"] or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return None
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        for i, merge in enumerate(model["merges"]):
+            if vocabulary.get("".join(merge.split(" ") if isinstance(merge, str) else merge)) != 256 + i:
+                return None
+        if len(vocabulary) != 256 + len(model["merges"]):
+            return None
+        import tiktoken
+
+        of = {chr(c): b for b, c in _byte_letters().items()}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocabulary.items()}, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked is None or any(x in text for x in self.added):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        else:
+            ids = self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.concatenate((ids, self.end))
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level files write a byte that prints as itself and the n-th of the others as the letter 256 + n."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: b for b in prints} | {b: 256 + n for n, b in enumerate(others)}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,13 +91,14 @@ def _pieces(path: str, end_id: int, capacity: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        coder = WordIds(path, end_id)
+        coder = Ids(path, end_id)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(texts), 200):
                 rows = []
-                for doc, b in zip(ids[k : k + 200], coder.encode([t or "" for t in texts[k : k + 200]]), strict=True):
-                    rows += [(doc, i, s, n, zlib.crc32(b[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(b) // 4, capacity))]
+                for doc, text in zip(ids[k : k + 200], texts[k : k + 200], strict=True):
+                    own = coder.encode(text or "")
+                    rows += [(doc, i, s, n, zlib.crc32(own[s : s + n])) for i, (s, n) in enumerate(cut(len(own), capacity))]
                 d, i, s, n, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, batch.schema.field("doc_id").type), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
