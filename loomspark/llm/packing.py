@@ -11,11 +11,14 @@ their rank among those of their length.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import random
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -73,6 +76,14 @@ class Ids:
         return np.concatenate((ids, self.end))
 
 
+@cache
+def shared_ids(path: str, end_id: int) -> Ids:
+    """One for all tasks of a Python worker: it takes tens of megabytes and half a second to make."""
+    made = Ids(path, end_id)
+    gc.collect()
+    return made
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level files write a byte that prints as itself and the n-th of the others as the letter 256 + n."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -88,10 +99,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        coder = Ids(path, end_id)
+        coder = shared_ids(path, end_id)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(texts), 200):
