@@ -9,9 +9,9 @@ its own transpose holds the overlap of every pair; all but a few entries are nev
 2. A block of the product is one prefix column. Its centre, the row in which the column comes earliest, is
    paired with the other rows: a group of n near copies gives n pairs, not n^2.
 3. Overlaps of those pairs are counted in full and links joined into components. Only blocks that still
-   hold rows of different components are multiplied out; for their pairs, overlaps are accumulated over
-   all prefix columns and pairs below the bound that their sizes imply are discarded before the rest is
-   counted in full.
+   hold rows of different components are multiplied out. The overlap that a pair can still have at a column,
+   given what its row shares with any other, is held against the one that their sizes need, and pairs below
+   it are discarded before the rest is counted in full.
 
 Pairs within a component, once formed, cannot change the components, so leaving them out loses nothing.
 """
@@ -34,7 +34,7 @@ from loomspark.scratch import materialize
 MAX_FREQUENT = 2_000_000
 #: Ids of documents whose sets are needed again are broadcast up to this number, else joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
-_CHUNK = 4_000_000
+_CHUNK = 1_500_000
 
 
 def _counts(width: int):
@@ -86,27 +86,32 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _rows(width: int, percent: int, keys, counts):
-    """doc_id, size, id of the set and its prefix columns in their order."""
+    """doc_id, size, id of the set, its prefix columns in their order, and the place of the last of them in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, often, freq = Hasher(), keys.value, counts.value
         for batch in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, prefixes, lasts = [], [], [], []
             for text in texts(batch, "text"):
                 s = hasher.shingles(text, width)
                 sizes.append(len(s))
                 ids.append(set_id(s))
                 if not len(s):
                     prefixes.append([])
+                    lasts.append((0, 0))
                     continue
                 p = prefix_length(len(s), percent)
+                n = np.zeros(len(s), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    s = s[np.argsort(np.where(often[at] == s, freq[at], 0), kind="stable")]
+                    n = np.where(often[at] == s, freq[at], 0)
+                    order = np.argsort(n, kind="stable")
+                    s, n = s[order], n[order]
                 prefixes.append(s[:p].view(np.int64))
+                lasts.append((int(n[p - 1]), int(s[p - 1]) - (1 << 63)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sid", "prefix"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array([x[i] for x in lasts], pa.int64()) for i in (0, 1)]],
+                ["doc_id", "n", "sid", "prefix", "last_n", "last_w"],
             )
 
     return run
@@ -180,11 +185,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     keys, counts = frequent(docs, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(
-        docs.mapInArrow(_rows(width, percent, spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(counts)), f"doc_id {kind}, n long, sid binary, prefix array<long>"), "jaccard-rows"
+        docs.mapInArrow(_rows(width, percent, spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(counts)), f"doc_id {kind}, n long, sid binary, prefix array<long>, last_n long, last_w long"), "jaccard-rows"
     )
     # Rows with the same set are one node; its number is 64 bits of the set's id, told apart by the id itself where it counts.
     nodes = materialize(
-        rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last_n").alias("last_n"), F.first("last_w").alias("last_w"))
         .withColumn("nid", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")),
         "jaccard-nodes",
     )
@@ -201,24 +206,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         "jaccard-stars",
     )
     links = materialize(_verify(stars, docs, nodes, width, percent), "jaccard-links")
-    ids = nodes.select("nid", "sid")
     labels = connected_components(links).withColumnRenamed("node", "sid")
 
-    held = blocks.select("w", "nid", "n", "pos").join(ids.join(labels, "sid", "left").select("nid", F.coalesce("component", "sid").alias("comp")), "nid")
+    # Of two rows, take x, whose prefix ends first: what it shares with the other is outside its prefix or in both
+    # prefixes. Let u be its columns outside its prefix and those in it that other prefixes hold. If the overlap is
+    # as needed, all but u - needed of the latter are shared, so one of the first u - needed + 1 is: the pair is
+    # met at a column of rank r with u - r >= needed.
+    own = Window.partitionBy("nid")
+    placed = blocks.select("w", "nid", "n", (_prefix_rest(F.col("n"), percent) + F.count("*").over(own) - F.row_number().over(own.orderBy("pos")) + 1).alias("left"))
+    whose = nodes.select("nid", "sid", F.struct("last_n", "last_w").alias("last")).join(labels, "sid", "left").select("nid", "last", F.coalesce("component", "sid").alias("comp"))
+    held = placed.join(whose, "nid")
     mixed = held.groupBy("w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("w")
     open_ = materialize(held.join(mixed.hint("merge"), "w"), "jaccard-open")
-    p, q = open_.select("w", *[F.col(c).alias(f"p_{c}") for c in ("nid", "n", "pos", "comp")]), open_.select("w", *[F.col(c).alias(f"q_{c}") for c in ("nid", "n", "pos", "comp")])
+    p, q = (open_.select("w", *[F.col(c).alias(f"{side}_{c}") for c in ("nid", "n", "left", "last", "comp")]) for side in "pq")
     sizes = [F.col(c) for c in ("p_n", "q_n")]
+    possible = (100 * sizes[0] >= percent * sizes[1]) & (100 * sizes[1] >= percent * sizes[0]) & (F.when(F.col("p_last") <= F.col("q_last"), F.col("p_left")).otherwise(F.col("q_left")) * (100 + percent) >= percent * (sizes[0] + sizes[1]))
     rest = (
-        p.hint("merge").join(q, (p["w"] == q["w"]) & (F.col("p_nid") < F.col("q_nid")) & (F.col("p_comp") != F.col("q_comp")) & (100 * sizes[0] >= percent * sizes[1]) & (100 * sizes[1] >= percent * sizes[0]))
-        .groupBy(F.col("p_nid").alias("x"), F.col("q_nid").alias("y"), "p_n", "q_n").agg(F.count("*").alias("c"))
-        .where((F.col("c") + F.greatest(_prefix_rest(sizes[0], percent), _prefix_rest(sizes[1], percent))) * (100 + percent) >= percent * (sizes[0] + sizes[1]))
-        .select("x", "y").join(stars, ["x", "y"], "left_anti")
+        p.hint("merge").join(q, (p["w"] == q["w"]) & (F.col("p_nid") < F.col("q_nid")) & (F.col("p_comp") != F.col("q_comp")) & possible)
+        .select(F.col("p_nid").alias("x"), F.col("q_nid").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
     )
-    more = _verify(materialize(rest, "jaccard-rest"), docs, nodes, width, percent)
-    # A star of the first components and the new links.
-    found = labels.select(F.col("sid").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = connected_components(found).withColumnRenamed("node", "sid")
+    rest = materialize(rest, "jaccard-rest")
+    final = labels
+    if not rest.isEmpty() and not (more := materialize(_verify(rest, docs, nodes, width, percent), "jaccard-more")).isEmpty():
+        # A star of the first components and the new links.
+        final = connected_components(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("node", "sid")
     of_set = nodes.select("sid", "rid").join(final, "sid", "left").select("sid", "rid", F.coalesce("component", "sid").alias("component"))
     least = of_set.groupBy("component").agg(F.min("rid").alias("component_id"))
     named = of_set.join(least, "component").select("sid", "component_id")
@@ -234,13 +245,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     doc_id and text one stays; rows that share a doc_id but no links stay each.
     """
     found = jaccard_components(docs, width, percent)
-    first = materialize(found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again")), "jaccard-kept")
+    first = materialize(found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_jaccard_id")).agg((F.count("*") > 1).alias("_jaccard_again")), "jaccard-kept")
     first = F.broadcast(first) if first.count() <= MAX_BROADCAST_IDS else first
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("doc_id").isNull()
-    kept = docs.where(~blank).join(first, docs["doc_id"] == first["_id"])
+    kept = docs.where(~blank).join(first, docs["doc_id"] == first["_jaccard_id"])
     names = docs.columns
-    again = kept.where("_again").withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))).where("_i = 1")
-    return docs.where(blank).unionByName(kept.where("not _again").select(*names)).unionByName(again.select(*names))
+    again = kept.where("_jaccard_again").withColumn("_jaccard_i", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))).where("_jaccard_i = 1")
+    return docs.where(blank).unionByName(kept.where("not _jaccard_again").select(*names)).unionByName(again.select(*names))
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:
