@@ -3,25 +3,29 @@
 The language model is an interpolated modified Kneser-Ney model of order 4 for each language. Its grams are
 of characters (UTF-16 units; capitals, digits and white space each folded), as four of them fill a 64-bit key exactly and
 their number depends on the alphabet more than on the corpus. All documents are counted: tasks count their
-own texts, Spark adds up. The estimated model is kept in sorted arrays of hashed keys, one pair for each order.
+own texts, Spark adds up and estimates. As every gram of a text has been counted, its probability is that of
+order 4, which holds the lower orders' shares. No gram is dropped: sorted arrays of hashed keys are broadcast
+in as many parts as the number of grams asks for, and a text's sums over the parts are added up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.shingles import Hasher
 from loomspark.scratch import materialize
 
 ORDER = 4
-#: Grams of the model that is broadcast, at 12 bytes; rarer grams of the highest orders are left to the lower ones beyond it.
-MAX_GRAMS = 6_000_000
+#: Grams of a part of the model, at 12 bytes: what is broadcast at once. More grams make more parts.
+PART_GRAMS = 6_000_000
 #: Width of a language's band, in quartile ranges beyond the quartiles.
 BAND = 3.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +104,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """Log probabilities of one language's grams, in arrays sorted by hashed key, and the weights of contexts for backing off."""
+    """The plain version of :func:`estimate`, for one language's grams: log probabilities in arrays sorted by hashed key, and the weights of contexts for backing off."""
 
     def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray]], spread: dict[int, np.ndarray]) -> None:
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -129,6 +133,8 @@ class Model:
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = keys * _MIX
+        if not len(table[0]):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
         at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
         return table[0][at] == h, table[1][at]
 
@@ -145,34 +151,92 @@ class Model:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Nats a unit of each text."""
-        units = _units(texts)
-        logs = self._look(ORDER, _grams(units))
-        logs[units[3:] == 2] = 0
-        ends = np.cumsum([len(t.encode("utf-16-le", "surrogatepass")) // 2 + 4 for t in texts])
-        sums = np.add.reduceat(logs, np.r_[0, ends[:-1]])
-        return -sums / (np.diff(np.r_[0, ends]) - 3)
+        return -_sums(texts, lambda grams: self._look(ORDER, grams)) / _lengths(texts)
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str | None, Model]:
-    """A model for each language. What reaches the driver is held to ``max_grams`` by raising the least count of orders 3 and 4."""
+def _lengths(texts: list[str]) -> np.ndarray:
+    """Units of each text with its end."""
+    return np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 + 1 for t in texts])
+
+
+def _sums(texts: list[str], look) -> np.ndarray:
+    """The sum of ``look``'s values over the grams of each text."""
+    units = _units(texts)
+    logs = look(_grams(units)).astype(np.float64)
+    logs[units[3:] == 2] = 0
+    ends = np.cumsum(_lengths(texts) + 3)
+    return np.add.reduceat(logs, np.r_[0, ends[:-1]])
+
+
+def estimate(docs: DataFrame) -> DataFrame:
+    """(lang, g, logp): log probabilities of all grams of order 4, each language by itself."""
     orders = count_grams(docs)
-    spread = {(r["lang"], r["k"]): [r[f"n{i}"] for i in range(1, 5)] for r in orders.groupBy("lang", "k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()}
-    sizes = dict(orders.groupBy(F.when(F.col("k") < 3, 63).otherwise(F.floor(F.log2("c"))).cast("int").alias("b")).count().collect())
-    least, total = 0, 0
-    for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > max_grams:
-            least = b + 1
-            break
-    got = orders.where(f"k < 3 or c >= {1 << min(least, 62)}").toArrow()
-    lang = got["lang"].to_pandas().fillna("\0").to_numpy()
-    k, g, c = (got[x].to_numpy() for x in ("k", "g", "c"))
-    models = {}
-    for name in sorted(set(lang)):
-        mine = {i: np.flatnonzero((lang == name) & (k == i)) for i in range(1, ORDER + 1)}
-        real = None if name == "\0" else name
-        models[real] = Model({i: (g[at].view(np.uint64), c[at]) for i, at in mine.items()}, {i: spread[real, i] for i in mine})
-    return models
+    spread = orders.groupBy("lang", "k").agg(F.count("*").alias("n"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()
+    rows = [(r["lang"], r["k"], r["n"], *discounts(*[r[f"n{i}"] for i in range(1, 5)])[1:].tolist()) for r in spread]
+    cuts = docs.sparkSession.createDataFrame(rows, "lang string, k int, n long, d1 double, d2 double, d3 double")
+    lower = None
+    for k in range(1, ORDER + 1):
+        mine = cuts.where(F.col("k") == k).select(F.col("lang").alias("_lang"), "n", "d1", "d2", "d3")
+        at = orders.where(F.col("k") == k).select("lang", "g", "c")
+        at = at.join(mine, at["lang"].eqNullSafe(mine["_lang"])).drop("_lang").withColumn("ctx", F.shiftrightunsigned("g", 16))
+        w = Window.partitionBy("lang", "ctx")
+        kinds = [F.count_if(F.col("c") == 1).over(w), F.count_if(F.col("c") == 2).over(w), F.count_if(F.col("c") > 2).over(w)]
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        at = at.select("lang", "g", "n", (F.col("c") - cut).alias("left"), F.sum("c").over(w).alias("total"), (kinds[0] * F.col("d1") + kinds[1] * F.col("d2") + kinds[2] * F.col("d3")).alias("lost"))
+        if lower is None:
+            below = 1 / (F.col("n") + 1)
+        else:
+            at = at.join(lower, at["lang"].eqNullSafe(lower["_lang"]) & (at["g"].bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)) == lower["_g"]))
+            below = F.col("_p")
+        p = F.col("left") / F.col("total") + F.col("lost") / F.col("total") * below
+        lower = at.select(F.col("lang").alias("_lang"), F.col("g").alias("_g"), p.alias("_p"))
+    return materialize(lower.select(F.col("_lang").alias("lang"), F.col("_g").alias("g"), F.log("_p").cast("float").alias("logp")), "quality-model")
+
+
+Table = dict[str | None, tuple[np.ndarray, np.ndarray]]
+
+
+def parts(model: DataFrame, part_grams: int) -> list[tuple[list[str | None], int, int]]:
+    """(languages, piece, pieces) of each part: a language of more grams than a part holds is cut by hash, smaller ones share parts."""
+    out, size = [], part_grams
+    for lang, n in sorted(((r["lang"], r["count"]) for r in model.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0] or "")):
+        if n > part_grams:
+            pieces = -(-n // part_grams)
+            out += [([lang], i, pieces) for i in range(pieces)]
+        elif size + n > part_grams:
+            out.append(([lang], 0, 1))
+            size = n
+        else:
+            out[-1][0].append(lang)
+            size += n
+    return out
+
+
+def _of(langs: list[str | None]) -> Column:
+    """Rows of these languages."""
+    named = F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False))
+    return named | F.col("lang").isNull() if None in langs else named
+
+
+def load(model: DataFrame, langs: list[str | None], piece: int, pieces: int) -> Table:
+    """A part of the model in arrays sorted by hashed key."""
+    got = model.where(_of(langs) & (F.pmod(F.xxhash64("g"), F.lit(pieces)) == piece)).toArrow().combine_chunks()
+    lang, g, logp = got["lang"], got["g"].to_numpy().view(np.uint64), got["logp"].to_numpy()
+    out = {}
+    for name in langs:
+        at = np.flatnonzero((pc.is_null(lang) if name is None else pc.fill_null(pc.equal(lang, name), False)).to_numpy())
+        out[name] = Model._sorted(g[at], logp[at])
+    return out
+
+
+def _log_sums(table: Table, lang: str | None, texts: list[str]) -> np.ndarray:
+    """Sums of the log probabilities that this part has."""
+
+    def look(grams: np.ndarray) -> np.ndarray:
+        known, logs = Model._find(table[lang], grams)
+        return np.where(known, logs, 0)
+
+    return _sums(texts, look) if lang in table else np.zeros(len(texts))
 
 
 def base_counts(text: bytes, hasher: Hasher) -> tuple[int, int, int, int, int]:
@@ -197,32 +261,75 @@ def base_counts(text: bytes, hasher: Hasher) -> tuple[int, int, int, int, int]:
     return len(w), chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-def _scored(models):
+def _scored(part):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(), models.value
+        hasher, known = Hasher(), part.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                raw = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+                rows = batch.slice(k, 256)
+                raw = [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
                 counts = [base_counts(x, hasher) for x in raw]
                 texts, entropy = [x.decode() for x in raw], np.full(len(raw), np.nan)
                 by: dict[str | None, list[int]] = {}
-                for i, lang in enumerate(part.column("lang").to_pylist()):
+                for i, lang in enumerate(rows.column("lang").to_pylist()):
                     if texts[i]:
                         by.setdefault(lang, []).append(i)
                 for lang, at in by.items():
-                    entropy[at] = known[lang].entropies([texts[i] for i in at])
+                    mine = [texts[i] for i in at]
+                    entropy[at] = -_log_sums(known, lang, mine) / _lengths(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang")] + [pa.array(list(x), pa.int64()) for x in zip(*counts, strict=True)] + [pa.array(entropy, from_pandas=True)],
-                    ["doc_id", "lang", *names, "entropy"],
+                    [rows.column(x) for x in ("doc_id", "lang", "key")] + [pa.array(list(x), pa.int64()) for x in zip(*counts, strict=True)] + [pa.array(entropy, from_pandas=True)],
+                    ["doc_id", "lang", "key", *names, "entropy"],
                 )
 
     return run
 
 
-def rate(docs: DataFrame, band: float = BAND, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def _more(part):
+    """(key, more): what a further part adds to the entropy of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                rows = batch.slice(k, 256)
+                texts, more = rows.column("text").to_pylist(), np.zeros(rows.num_rows)
+                by: dict[str | None, list[int]] = {}
+                for i, lang in enumerate(rows.column("lang").to_pylist()):
+                    by.setdefault(lang, []).append(i)
+                for lang, at in by.items():
+                    mine = [texts[i] for i in at]
+                    more[at] = -_log_sums(part.value, lang, mine) / _lengths(mine)
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(more)], ["key", "more"])
+
+    return run
+
+
+def score(docs: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
+    """(doc_id, lang, counts, entropy) of each row; texts are read once for each part that their language has."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    model = estimate(docs)
+    # Equal texts of a language have equal sums, so they are told apart by nothing else: 128 bits over both.
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), F.lit("\0"), "text").cast("binary")))
+    every = parts(model, part_grams) or [([], 0, 1)]
+    part = spark.sparkContext.broadcast(load(model, *every[0]))
+    keyed = docs.withColumn("key", key if len(every) > 1 else F.lit(None).cast("binary"))
+    out = keyed.mapInArrow(_scored(part), f"doc_id {kind}, lang string, key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, entropy double")
+    if len(every) == 1:
+        return out.drop("key")
+    sums = []
+    for at in every[1:]:
+        part = spark.sparkContext.broadcast(load(model, *at))
+        rows = keyed.where(_of(at[0]) & (F.length("text") > 0)).select("key", "lang", "text")
+        sums.append(materialize(rows.mapInArrow(_more(part), "key binary, more double").groupBy("key").agg(F.max("more").alias("more")), "quality-more"))
+        part.unpersist()
+    added = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("more").alias("more"))
+    return out.join(added, "key", "left").withColumn("entropy", F.col("entropy") + F.coalesce("more", F.lit(0.0))).drop("key", "more")
+
+
+def rate(docs: DataFrame, band: float = BAND, min_words: int = 50, max_repeat: int = 50, part_grams: int = PART_GRAMS) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang) with their counts, perplexity, its language's band, base_failed and kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat`` % of them in repeated 3-word
@@ -235,9 +342,7 @@ def rate(docs: DataFrame, band: float = BAND, min_words: int = 50, max_repeat: i
     rows are repeated; an empty table gives no rows. Other columns are not read.
     """
     docs = docs.select("doc_id", "lang", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    scored = docs.mapInArrow(_scored(models), f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, entropy double")
+    scored = score(docs, part_grams)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scored = materialize(scored.withColumn("base_failed", failed), "quality-scored")
     q = F.percentile_approx("entropy", F.array(F.lit(0.25), F.lit(0.75)), 1000)

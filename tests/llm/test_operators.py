@@ -1,9 +1,11 @@
 """Operators on small tables with nulls, repeats, ties, very long texts and clashing names, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,34 @@ def test_quality_counts_and_bands(spark, rows, empty):
     assert quality.rate(empty).count() == 0
 
 
+def test_quality_keeps_every_gram(spark, rows):
+    docs = documents(spark, [*rows, (500, "xyz", "rare", "a"), (501, "xyz", "rare", "a")])
+    texts = {}
+    for r in docs.collect():
+        if r["text"]:
+            texts.setdefault(r["lang"], []).append(r["text"])
+    plain = {}
+    for lang, mine in texts.items():
+        units = quality._units(mine)
+        keys, n = np.unique(quality._grams(units)[units[3:] != 2], return_counts=True)
+        orders, c = {4: (keys, n)}, keys
+        for k in (3, 2, 1):
+            c, m = np.unique(c & np.uint64((1 << (16 * k)) - 1), return_counts=True)
+            orders[k] = (c, m)
+        model = quality.Model(orders, {k: [int((v[1] == i).sum()) for i in range(1, 5)] for k, v in orders.items()})
+        plain |= {(lang, t): math.exp(e) for t, e in zip(mine, model.entropies(mine), strict=True)}
+    text_of = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect() if r["doc_id"] is not None}
+    whole = {str(r["doc_id"]) + str(r["n_words"]): r for r in quality.rate(docs).collect()}
+    # The same verdicts and perplexities however many parts the model has.
+    for r in quality.rate(docs, part_grams=300).collect():
+        same = whole[str(r["doc_id"]) + str(r["n_words"])]
+        assert r["kept"] == same["kept"] and (r["perplexity"] is None) == (same["perplexity"] is None)
+        assert r["perplexity"] is None or r["perplexity"] == pytest.approx(same["perplexity"], rel=1e-9)
+        if r["doc_id"] is not None and text_of[r["doc_id"]][1]:
+            assert r["perplexity"] == pytest.approx(plain[text_of[r["doc_id"]]], rel=1e-5)
+    assert len(quality.parts(quality.estimate(docs), 300)) > 3
+
+
 def test_language_of_held_out_rows(spark, empty):
     rng = random.Random(3)
     of = {"en": "the and of that this with from have".split(), "de": "der die und das nicht mit sich auf".split(), "fr": "le la les des est pour dans une".split()}
