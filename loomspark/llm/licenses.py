@@ -2,7 +2,7 @@
 
 A candidate block is what stands around a cue word. It is compressed alone and with each template as a raw
 Zstandard dictionary; templates are ranked by the bytes that they save, as a share of what their own text
-takes. The best ones are confirmed by an alignment of words, whose differences are counted exactly.
+takes. Every one that saves any is confirmed by an alignment of words, whose differences are counted exactly.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ TEMPLATES = {
 CUES = r"licen[sc]|permission|redistribut|mozilla|creative commons|public domain|cc by"
 _CUE = re.compile(CUES, re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-#: Templates that are aligned for a block, and words that may differ, as a share of the template's.
-CONFIRMED, DIFFERENT = 4, 0.12
+#: Words that may differ, as a share of the template's.
+DIFFERENT = 0.12
 
 
 @cache
@@ -52,6 +52,12 @@ def _tools() -> tuple:
     return plain, found
 
 
+@cache
+def _reach() -> int:
+    """Words of the longest notice: the longest template's and those that may be added."""
+    return max(len(words) + int(DIFFERENT * len(words)) for _, words, *_ in _tools()[1])
+
+
 def align(template: list[str], words: list[str]) -> tuple[int, int, int]:
     """(differences, first word, last word + 1) of the part of ``words`` nearest to the template: the fewest insertions, deletions and changes.
 
@@ -79,12 +85,12 @@ def align(template: list[str], words: list[str]) -> tuple[int, int, int]:
 def blocks(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
     """Words and places of the surroundings of cue words; surroundings that meet are one block.
 
-    They reach as far as the longest template has words, so a notice around its cue is never cut.
+    They reach as far as the longest notice may have words, so a notice around its cue is never cut.
     """
     cues = [m.start() for m in _CUE.finditer(text)]
     if not cues:
         return []
-    reach = max(len(words) for _, words, *_ in _tools()[1])
+    reach = _reach()
     places = [m.span() for m in _WORD.finditer(text)]
     ends = np.array([e for _, e in places])
     out: list[list[int]] = []
@@ -103,26 +109,25 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     plain, templates = _tools()
     found = []
     for words, places in blocks(text):
-        # A long block is compressed by parts, as a window of the longest template's size is where a notice lies.
-        reach = max(len(w) for _, w, *_ in templates)
+        # A long block is compressed by parts, as a window of the longest notice's size is where a notice lies.
+        reach = _reach()
         for at in range(0, len(words), reach):
             part, where = words[at : at + 2 * reach], places[at : at + 2 * reach]
             if not any(_CUE.search(w) or w in ("creative", "public", "cc") for w in part):
                 continue
             raw = " ".join(part).encode()
             alone = len(plain(raw))
-            saved = sorted(((alone - len(compress(raw))) / own, name, template) for name, template, own, compress in templates)[::-1]
-            for gain, name, template in saved[:CONFIRMED]:
-                if gain <= 0:
+            for name, template, _, compress in templates:
+                if len(compress(raw)) >= alone:
                     continue
-                rest, base = part, 0
-                while rest:
-                    wrong, a, b = align(template, rest)
+                rests = [(0, len(part))]
+                while rests:  # before and after each notice there may be more of them
+                    low, high = rests.pop()
+                    wrong, a, b = align(template, part[low:high])
                     if b <= a or wrong > DIFFERENT * len(template):
-                        break
-                    found.append((len(template) - wrong, name, where[base + a][0], where[base + b - 1][1], wrong))
-                    base += b
-                    rest = part[base:]
+                        continue
+                    found.append((len(template) - wrong, name, where[low + a][0], where[low + b - 1][1], wrong))
+                    rests += [(low, low + a), (low + b, high)]
     kept: list[tuple[str, int, int, int]] = []
     for _, name, s, e, wrong in sorted(set(found), key=lambda x: (-x[0], x[4], x[2], x[1])):
         if all(e <= s2 or s >= e2 for _, s2, e2, _ in kept):

@@ -170,6 +170,25 @@ def test_licenses_are_found_with_exact_differences():
     assert [(n, s, d) for n, s, _, d in licenses.scan(long)] == [("GPL-3.0-notice", 25000, 0)]
 
 
+def test_every_license_of_a_passage_is_found():
+    names = list(licenses.TEMPLATES)
+    rng = random.Random(8)
+    short = [n for n in names if len(licenses.TEMPLATES[n].split()) < 15]
+    for _ in range(20):
+        rng.shuffle(short)
+        text = " ".join(f"Part {n} of it. {licenses.TEMPLATES[n]}" for n in short)
+        assert [n for n, *_ in licenses.scan(text)] == short
+    # Copies before and after the nearest one, with words changed.
+    mpl = licenses.TEMPLATES["MPL-2.0"]
+    text = f"{mpl.replace('Source', 'Sauce')} {mpl} {mpl.replace('Form', 'Farm')}"
+    assert [(n, d) for n, *_, d in licenses.scan(text)] == [("MPL-2.0", 1), ("MPL-2.0", 0), ("MPL-2.0", 1)]
+    # A notice saves bytes wherever it lies in a window.
+    for name in names:
+        for k in range(0, 120, 7):
+            words = [rng.choice(["alpha", "under", "the", "license", "work"]) + str(rng.randint(0, 99)) for _ in range(120)]
+            assert name in [n for n, *_ in licenses.scan(" ".join([*words[:k], licenses.TEMPLATES[name], *words[k:]]))], (name, k)
+
+
 def test_alignment_against_plain_edit_distance():
     rng = random.Random(6)
     for _ in range(100):
