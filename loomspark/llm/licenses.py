@@ -33,50 +33,122 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUES = r"licen[sc]|permission|redistribut|mozilla|creative commons|public domain|cc by"
+#: Names of licenses by how notices give them; with them, a template for each usual wording.
+_GNU = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _usual() -> dict[str, str]:
+    """Further usual wordings: a number after # tells apart those of one license."""
+    out = {}
+
+    def put(name: str, *texts: str) -> None:
+        for text in texts:
+            if text not in TEMPLATES.values():
+                out[f"{name}#{len(out)}"] = text
+
+    put("MIT-notice", "under the terms of the MIT License", "under the MIT License", "MIT Licensed")
+    put("ISC-notice", "under the ISC License")
+    put("Apache-2.0-notice", "under the Apache License 2.0", "under the Apache 2.0 License", "Apache License Version 2.0, January 2004")
+    for n in (2, 3):
+        put(f"BSD-{n}-Clause-notice", f"under the BSD {n}-Clause License", f"under the {n}-Clause BSD License")
+    put("BSD-notice", "under the BSD License", "under a BSD-style License")
+    put("MPL-2.0-notice", "under the Mozilla Public License 2.0", "under the Mozilla Public License Version 2.0", "subject to the terms of the MPL 2.0")
+    for v in ("1.0", "2.0"):
+        put(f"EPL-{v}-notice", f"under the Eclipse Public License {v}", f"under the Eclipse Public License Version {v}", f"under the terms of the Eclipse Public License v. {v}", f"under the EPL {v}")
+    put("Unlicense-notice", "under the Unlicense")
+    for short, versions in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}.items():
+        for v in versions:
+            name = f"{short}-{v if '.' in v else v + '.0'}-notice"
+            put(name, f"licensed under the GNU {_GNU[short]}, version {v}", f"under the GNU {_GNU[short]} v{v}", f"under the {short} v{v}", f"under the {short} version {v}", f"under the {short}v{v}", f"under the {short}-{v}")
+            put(name, f"under the terms of the GNU {_GNU[short]} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version")
+            put(name, f"under the terms of the GNU {_GNU[short]} as published by the Free Software Foundation, version {v}", f"GNU {_GNU[short]} Version {v}")
+        put(f"{short}-notice", f"under the GNU {_GNU[short]}", f"under the {short}")
+    put("LGPL-2.0-notice", "under the GNU Library General Public License, version 2")
+    for code, long in _CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            put(f"CC-{code}-{v}", f"under CC {code} {v}", f"under CC-{code}-{v}", f"under CC-{code} {v}", f"under a Creative Commons {long} {v} International License", f"under the Creative Commons {long} {v} License")
+    put("CC0-1.0", "under CC0 1.0", "under CC0", "under the Creative Commons Zero 1.0 License", "CC0 1.0 Universal Public Domain Dedication")
+    return out
+
+
+#: Words that tell licenses apart: none of them may differ, be left out or added within a notice; nor may versions.
+NAMES = frozenset(
+    "mit isc apache bsd bsd-style 2-clause 3-clause 4-clause mozilla mpl eclipse epl gnu gpl lgpl agpl lesser library affero cc cc0 zero creative commons unlicense unencumbered boost artistic zlib".split()
+    + [w for code in _CC for w in (code.lower(), f"cc-{code.lower()}")]
+    + [long.lower() for long in _CC.values()]
+)
+_VERSION = re.compile(r"v?\.?(\d{1,2}(?:\.\d+)*?)(?:\.0)*")
+_NUMBERED = re.compile(r"(?:a|l)?gplv\d|(?:a|l)?gpl-\d|cc-by[a-z-]*-\d|(?:mit|apache|mpl|epl)-\d")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:[A-Za-z0-9.+()-]+|[ \t]+(?:OR|AND|WITH)[ \t]+|\([ \t]*|[ \t]*\))+)", re.I)
+CUES = r"licen[sc]|permission|redistribut|mozilla|creative commons|public domain|cc by|cc-by|cc0|gpl|\bmpl\b|\bepl\b"
 _CUE = re.compile(CUES, re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-#: Words that may differ, as a share of the template's.
+#: Words that may differ, as a share of the template's; from four words on at least one may.
 DIFFERENT = 0.12
+_NEVER = 1 << 16
+
+
+def _norm(word: str) -> str:
+    """A version by its number alone: v3, 3 and 3.0 are one."""
+    m = _VERSION.fullmatch(word)
+    return m[1] if m else re.sub(r"(?:\.0)+$", "", word) if _NUMBERED.match(word) else word
+
+
+def _names(words: list[str], named: bool) -> np.ndarray:
+    """Which words tell licenses apart: names and versions, where the template names its license at all."""
+    return np.array([named and bool(w in NAMES or _VERSION.fullmatch(w) or _NUMBERED.match(w)) for w in words], bool)
+
+
+def allowed(template: list[str]) -> int:
+    """Words of a notice that may differ."""
+    return max(len(template) > 3, int(DIFFERENT * len(template)))
 
 
 @cache
 def _tools() -> tuple:
     plain = zstandard.ZstdCompressor(level=3).compress
     found = []
-    for name, text in TEMPLATES.items():
+    for name, text in (TEMPLATES | _usual()).items():
         words = [w.lower() for w in _WORD.findall(text)]
         raw = " ".join(words).encode()
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        found.append((name, words, max(1, len(plain(raw)) - 12), zstandard.ZstdCompressor(level=3, dict_data=d).compress))
+        named = any(w in NAMES or _NUMBERED.match(w) for w in words)
+        needs = frozenset(_norm(w) for w, is_name in zip(words, _names(words, named), strict=True) if is_name)
+        found.append((name.split("#")[0], words, needs, zstandard.ZstdCompressor(level=3, dict_data=d).compress))
     return plain, found
 
 
 @cache
 def _reach() -> int:
     """Words of the longest notice: the longest template's and those that may be added."""
-    return max(len(words) + int(DIFFERENT * len(words)) for _, words, *_ in _tools()[1])
+    return max(len(words) + allowed(words) for _, words, *_ in _tools()[1])
 
 
 def align(template: list[str], words: list[str]) -> tuple[int, int, int]:
     """(differences, first word, last word + 1) of the part of ``words`` nearest to the template: the fewest insertions, deletions and changes.
 
-    Of equally near parts, the one that ends first, and of these the longest.
+    Of equally near parts, the one that ends first, and of these the longest. A difference in a word that tells
+    licenses apart counts as more than any template may have.
     """
     ids: dict[str, int] = {}
-    t = [ids.setdefault(w, len(ids)) for w in template]
-    x = np.array([ids.get(w, -1) for w in words], np.int64)
+    t = [ids.setdefault(_norm(w), len(ids)) for w in template]
+    x = np.array([ids.get(_norm(w), -1) for w in words], np.int64)
     n = len(x)
     steps = np.arange(n + 1)
+    named = any(w in NAMES or _NUMBERED.match(w) for w in template)
+    added = np.where(_names(words, named), _NEVER, 1)
+    lost = np.where(_names(template, named), _NEVER, 1)
+    along = np.r_[0, np.cumsum(added)] << 32
     cost, start = np.zeros(n + 1, np.int64), steps.copy()
     for k, w in enumerate(t, 1):
         # A cell's cost and start in one number, so the least cost with the least start is one minimum.
         both = cost * (1 << 32) + start
         one = 1 << 32
-        new = both + one
-        new[1:] = np.minimum(new[1:], both[:-1] + np.where(x == w, 0, one))
+        new = both + int(lost[k - 1]) * one
+        new[1:] = np.minimum(new[1:], both[:-1] + np.where(x == w, 0, np.maximum(added, lost[k - 1]) * one))
         # Words of the text that the template lacks: a running minimum along the row.
-        new = np.minimum.accumulate(new - steps * one) + steps * one
+        new = np.minimum.accumulate(new - along) + along
         cost, start = new >> 32, new & (one - 1)
     end = int(np.argmin(cost))
     return int(cost[end]), int(start[end]), end
@@ -108,6 +180,10 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     """(license, start, end, different words) of each notice, in order of place; where notices overlap, the longer one."""
     plain, templates = _tools()
     found = []
+    for m in _SPDX.finditer(text):
+        for x in re.finditer(r"[A-Za-z0-9.+-]+", m[1]):
+            if x[0].upper() not in ("OR", "AND", "WITH"):
+                found.append((_NEVER, x[0].rstrip(".") + "-identifier", m.start(1) + x.start(), m.start(1) + x.start() + len(x[0].rstrip(".")), 0))
     for words, places in blocks(text):
         # A long block is compressed by parts, as a window of the longest notice's size is where a notice lies.
         reach = _reach()
@@ -116,15 +192,16 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
             if not any(_CUE.search(w) or w in ("creative", "public", "cc") for w in part):
                 continue
             raw = " ".join(part).encode()
-            alone = len(plain(raw))
-            for name, template, _, compress in templates:
-                if len(compress(raw)) >= alone:
+            alone, has = len(plain(raw)), {_norm(w) for w in part}
+            for name, template, needs, compress in templates:
+                # Without its names there is no notice.
+                if not needs <= has or len(compress(raw)) >= alone:
                     continue
                 rests = [(0, len(part))]
                 while rests:  # before and after each notice there may be more of them
                     low, high = rests.pop()
                     wrong, a, b = align(template, part[low:high])
-                    if b <= a or wrong > DIFFERENT * len(template):
+                    if b <= a or wrong > allowed(template):
                         continue
                     found.append((len(template) - wrong, name, where[low + a][0], where[low + b - 1][1], wrong))
                     rests += [(low, low + a), (low + b, high)]

@@ -189,6 +189,21 @@ def test_every_license_of_a_passage_is_found():
             assert name in [n for n, *_ in licenses.scan(" ".join([*words[:k], licenses.TEMPLATES[name], *words[k:]]))], (name, k)
 
 
+def test_usual_license_wordings_and_their_names_and_versions():
+    for text, name in (
+        ("It is licensed under the MIT License and more", "MIT-notice"), ("Distributed under the MIT License.", "MIT-notice"), ("released under the MIT license", "MIT-notice"),
+        ("Licensed under CC BY-SA 4.0 here", "CC-BY-SA-4.0"), ("licensed under CC BY-NC 3.0", "CC-BY-NC-3.0"), ("Text under CC-BY-4.0.", "CC-BY-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"), ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0-notice"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-notice"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice"),
+        ("made available under the Eclipse Public License v2.0 which", "EPL-2.0-notice"), ("// SPDX-License-Identifier: EPL-2.0\nint x;", "EPL-2.0-identifier"),
+        ("Licensed under the Apache License, Version 2.0", "Apache-2.0-notice"), ("distributed under the BSD 3-Clause License", "BSD-3-Clause-notice"),
+    ):
+        assert [n for n, *_ in licenses.scan(text)] == [name], (text, licenses.scan(text))
+    assert [n for n, *_ in licenses.scan("SPDX-License-Identifier: (MIT OR Apache-2.0)\nx")] == ["MIT-identifier", "Apache-2.0-identifier"]
+    for text in ("Licensed under the Acme License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", "under the license of the city", "He applied for a licence under the terms of the act"):
+        assert licenses.scan(text) == [], text
+
+
 def test_alignment_against_plain_edit_distance():
     rng = random.Random(6)
     for _ in range(100):
