@@ -3,7 +3,9 @@
 Markup is stripped and every block-level element begins a line. Elements that by their name, role or class
 are no article text (menus, forms, adverts, comments, ...) leave no line. Lengths of the others, without
 their links, are summed over sliding windows; the text starts where the sums surge and ends where they dive.
-Where a page marks its article or main element, lines outside it have no length and all inside have some.
+Where a page marks its article or main element, lines outside it have no length and any
+text without links is a surge inside, unless a run outside holds more text than the whole element, which is
+then only a teaser.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines of a window; characters that a window needs for a surge.
-WINDOW, SURGE = 3, 120
+#: Lines of a window; characters that a window needs for a surge, and in a marked element.
+WINDOW, SURGE, MARKED = 3, 120, 1
 #: Names of HTML elements, roles and usual words in class names.
 RAW = "script|style|noscript|template|iframe|svg|canvas|object|math|head|title"
 DROPPED = frozenset("nav header footer aside form select textarea button dialog menu fieldset".split())
@@ -114,13 +116,27 @@ def extract(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    core = any(inside for *_, inside in found)
-    weight = [(max(free, SURGE) if inside else 0) if core else (free if 2 * free >= len(text) else 0) for text, free, inside in found]
+    weight = [free if 2 * free >= len(text) else 0 for text, free, _ in found]
+    inside = [w if marked else 0 for w, (*_, marked) in zip(weight, found, strict=True)]
+    outside = _runs([0 if marked else w for w, (*_, marked) in zip(weight, found, strict=True)], SURGE)
+    core = sum(inside) > 0 and sum(inside) >= max((size for size, *_ in outside), default=0)
+    kept = _runs(inside if core else weight, MARKED if core else SURGE)
+    if not kept:
+        return ""
+    if not core:
+        best = max(kept)[0]
+        kept = [r for r in kept if 4 * r[0] >= best]
+    in_run = {k for _, i, last in kept for k in range(i, last + 1)}
+    # Between runs, lines of links are left out.
+    return " ".join(found[k][0] for k in range(kept[0][1], kept[-1][2] + 1) if (k in in_run or weight[k]) and (found[k][2] or not core))
+
+
+def _runs(weight: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(characters, first line, last line) of the runs of windows from a surge to the dive after it."""
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    surge = min(SURGE, (max(sums) + 1) // 2)
+    surge = min(least, (max(sums) + 1) // 2)
     if not surge:
-        return ""
-    # Runs of windows from a surge to the dive after it; the text is that from the first to the last run that carries a fair share.
+        return []
     runs, i = [], 0
     while i < len(sums):
         if sums[i] < surge:
@@ -134,10 +150,7 @@ def extract(page: str | None) -> str:
         last = max(k for k in range(i, j + 1) if weight[k])
         runs.append((sum(weight[i : last + 1]), i, last))
         i = j + 1
-    best = max(runs)[0]
-    kept = [r for r in runs if 4 * r[0] >= best]
-    first, last = kept[0][1], kept[-1][2]
-    return " ".join(text for text, _, inside in found[first : last + 1] if inside or not core)
+    return runs
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,6 +160,15 @@ def test_main_text_of_pages():
     assert linehtml.extract("<article>" + "<p>x &amp; y</p>" * 3000 + "</article>") == " ".join(["x & y"] * 3000)
 
 
+def test_line_blocks_decide_within_a_marked_element():
+    prose, links = "Some words of the main text. " * 8, "".join(f"<li><a href='/{i}'>see also page {i}</a></li>" for i in range(6))
+    text = prose.strip()
+    assert linehtml.extract(f"<article><p>{prose}</p><ul>{links}</ul><p>{prose}</p><ul>{links}</ul></article><p>{prose}</p>") == f"{text} {text}"
+    assert linehtml.extract(f"<main><ul>{links}</ul><p>{prose}</p></main>") == text
+    # A teaser that is marked does not hide the text.
+    assert linehtml.extract(f"<article><p>Short teaser.</p></article><ul>{links}</ul><p>{prose}</p><p>{prose}</p>") == f"{text} {text}"
+
+
 def test_licenses_are_found_with_exact_differences():
     text = "words before. Released under the MIT License. words after\nLicensed under the Apache Licence, Version 2.0."
     assert [(n, text[s:e], d) for n, s, e, d in licenses.scan(text)] == [("MIT-notice", "Released under the MIT License", 0)] or len(licenses.scan(text)) == 2
