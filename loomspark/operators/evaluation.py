@@ -11,6 +11,8 @@ from loomspark.functions.text import SENTENCE, deaccent, number, split_position
 #: Fixed values.
 RATIOS = (("train", 0.70), ("validation", 0.85), ("test", 1.0))
 EXACT_PAIRS, BOOTSTRAPS, PERMUTATIONS = 14, 10_000, 20_000
+#: Draws of a row.
+DRAWS = 200
 PRICE_BANDS = ((0, 2e9, "dưới 2 tỷ"), (2e9, 3e9, "từ 2 đến 3 tỷ"), (3e9, 5e9, "từ 3 đến 5 tỷ"), (5e9, 1e10, "từ 5 đến 10 tỷ"), (1e10, float("inf"), "trên 10 tỷ"))
 AREA_TOLERANCE, PER_TYPE = 0.15, 12
 CLAIM_HINTS = ("gia", "dien tich", "phong ngu", "phong tam", "so hong", "so do", "phap ly", "tien ich", "ho boi", "cong vien", "truong hoc", "thang may", "m2", "ty", "trieu")
@@ -117,14 +119,46 @@ def exact_permutation(diffs: DataFrame, keys: list[str]) -> DataFrame:
     return flipped.groupBy(*keys, "n").agg(F.count_if(F.col("v") >= F.col("seen") - 1e-12).alias("extreme"), F.count("*").alias("patterns")).withColumn("p_value", F.bround(F.col("extreme") / F.col("patterns"), 5))
 
 
+def _draws(values: DataFrame, keys: list[str], n: int, of) -> DataFrame:
+    """(keys, n, seen, _draw, m): ``of(draw, d)`` for ``n`` draws from the array d of each key, nulls dropped; blocks of draws are rows."""
+    held = values.where("d is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "d")))["d"].alias("d"), F.count("*").alias("n"), F.abs(F.avg("d")).alias("seen"))
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = held.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS)))).repartition(tasks, *keys, "_from")
+    draws = F.sequence(F.col("_from"), F.least(F.col("_from") + DRAWS, F.lit(n)) - 1)
+    return blocks.select(*keys, "n", "seen", F.explode(F.transform(draws, lambda x: F.struct(x.alias("draw"), of(x, F.col("d")).alias("m")))).alias("x")).select(*keys, "n", "seen", F.col("x.draw").alias("_draw"), "x.m")
+
+
+def permutation_test(diffs: DataFrame, keys: list[str], n: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
+    """(keys, n, method, extreme, patterns, p_value) of (keys, i, d): exact for at most EXACT_PAIRS differences, else ``n`` hashed sign flips.
+
+    The sampled p is (extreme + 1) / (n + 1), so it is never 0. Null differences are dropped; a key without others
+    has none; a mean of 0 has p 1.
+    """
+    rows = diffs.where("d is not null").withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    few = rows.where(F.col("_n") <= EXACT_PAIRS).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1).drop("_n")
+    exact = exact_permutation(few, keys).select(*keys, "n", F.lit("exact").alias("method"), "extreme", "patterns", "p_value")
+
+    def flipped(draw: Column, d: Column) -> Column:
+        signed = F.transform(d, lambda x, i: F.when(F.xxhash64(F.lit(seed), draw, i).bitwiseAND(F.lit(1)) == 1, -x).otherwise(x))
+        return F.abs(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.size(d))
+
+    drawn = _draws(rows.where(F.col("_n") > EXACT_PAIRS), keys, n, flipped).groupBy(*keys, "n")
+    sampled = drawn.agg(F.count_if(F.col("m") >= F.col("seen") - 1e-12).alias("extreme"), F.count("*").alias("patterns"), F.max("seen").alias("seen"))
+    p = F.when(F.col("seen") == 0, 1.0).otherwise(F.bround((F.col("extreme") + 1) / (F.col("patterns") + 1), 5))
+    return exact.unionByName(sampled.select(*keys, "n", F.lit("monte_carlo").alias("method"), "extreme", "patterns", p.alias("p_value")))
+
+
 def bootstrap_interval(values: DataFrame, keys: list[str], n: int = BOOTSTRAPS, seed: int = 7) -> DataFrame:
-    """95 % percentile interval of the mean of (keys, i, d): hashed draws, bounds at the floor indices."""
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_pick", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    picked = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "_draw", "_pick"), F.col("n")).cast("int")).join(values, [*keys, "i"])
-    means = picked.groupBy(*keys, "_draw").agg(F.avg("d").alias("m"))
-    r = means.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "_draw")) - 1)
-    return r.groupBy(*keys).agg(F.max(F.when(F.col("r") == int(0.025 * n), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * n), F.col("m"))).alias("high"))
+    """95 % percentile interval of the mean of (keys, i, d): hashed draws, bounds at the floor indices; null for fewer than 2 values."""
+
+    def resampled(draw: Column, d: Column) -> Column:
+        picked = lambda pick: F.get(d, F.pmod(F.xxhash64(F.lit(seed), draw, pick), F.size(d)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(d) - 1), F.lit(0.0), lambda s, pick: s + picked(pick)) / F.size(d)
+
+    means = _draws(values, keys, n, resampled)
+    r = means.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "_draw")) - 1).where(F.col("r").isin(int(0.025 * n), int(0.975 * n)))
+    at = lambda share: F.max(F.when((F.col("r") == int(share * n)) & (F.col("n") > 1), F.col("m")))
+    return r.groupBy(*keys).agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str]) -> DataFrame:

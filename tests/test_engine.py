@@ -118,6 +118,34 @@ def test_statistics_with_known_answers(spark):
     assert (s["wins"], s["losses"], s["ties"], s["mean_diff"]) == (1, 1, 1, 0) and s["dz"] == 0
 
 
+def test_sampled_permutation_and_bootstrap(spark):
+    rng = random.Random(3)
+    rows = [("few", i, float(x)) for i, x in enumerate([1, 2, 3, 4])] + [("few", 9, None), ("one", 0, 2.0), ("none", 0, None)]
+    rows += [("same", i, float((-1) ** i)) for i in range(20)] + [("far", i, rng.gauss(3, 1)) for i in range(40)] + [("near", i, rng.gauss(0.2, 1)) for i in range(40)]
+    d = spark.createDataFrame(rows, "k string, i int, d double")
+    got = {r["k"]: r for r in evaluation.permutation_test(d, ["k"]).collect()}
+    assert set(got) == {"few", "one", "same", "far", "near"}
+    assert (got["few"]["method"], got["few"]["n"], got["few"]["p_value"]) == ("exact", 4, 0.125)
+    assert (got["same"]["method"], got["same"]["p_value"]) == ("monte_carlo", 1.0)
+    assert got["far"]["patterns"] == 20_000 and got["far"]["p_value"] == round(1 / 20_001, 5)
+    near = [x for k, _, x in rows if k == "near"]
+    plain = sum(abs(sum(rng.choice((-1, 1)) * x for x in near)) >= abs(sum(near)) - 1e-9 for _ in range(20_000)) / 20_000
+    assert abs(got["near"]["p_value"] - plain) < 0.02
+    spans = {r["k"]: (r["low"], r["high"]) for r in evaluation.bootstrap_interval(d, ["k"]).collect()}
+    means = sorted(sum(rng.choices(near, k=40)) / 40 for _ in range(10_000))
+    assert spans["one"] == (None, None) and all(abs(x - means[at]) < 0.05 for x, at in zip(spans["near"], (250, 9750), strict=True))
+
+
+def test_statistics_queries_take_every_customer(spark, tmp_path):
+    from loomspark.plans import catalogue
+
+    spark.range(60).selectExpr("id as c_custkey", "cast(id % 3 + 4 as int) as c_nationkey", "cast(id * 1000 as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue.QUERIES["permutation_test"](spark, str(tmp_path)).collect()
+    assert {(r["c_nationkey"], r["n"], r["method"]) for r in got} == {(4, 20, "monte_carlo"), (5, 20, "monte_carlo"), (6, 20, "monte_carlo")}
+    rows = catalogue.QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
+    assert {r["c_nationkey"] for r in rows} == {4, 5, 6} and all(r["low"] < 28 < r["high"] for r in rows)
+
+
 def test_claims(spark):
     body = "Căn hộ giá 4.9 tỷ rất đẹp. Diện tích 80 m2 rộng rãi. Cam kết lợi nhuận 10 phần trăm. Xin chào. Xem https://x.vn/123 nhé các bạn."
     row = spark.createDataFrame([(body, ["giá 4,90 tỷ", "10"])], "b string, f array<string>").select(evaluation.claims(F.col("b"), evaluation.allowed_numbers(F.col("f"))).alias("c"))
