@@ -155,6 +155,28 @@ def near_dup_clusters(t: Tables):
     return dedup.clusters(t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")), pairs)
 
 
+def _signed(t: Tables):
+    """64-bit BLAKE2b signatures as numbers; a text without words has none."""
+    sig = dedup.simhash_exact(t.documents, "doc_id", "text").where("simhash <> ''")
+    return sig.select("id", F.conv("simhash", 16, -10).cast("long").alias("simhash"))
+
+
+@query()
+def hamming_pairs_exact(t: Tables):
+    """Rows only: BLAKE2b has no SQL. Pairs within 6 of 64 bits, as the near-duplicate operator takes them."""
+    return dedup.near_pairs(_signed(t), bits=64, most=dedup.MAX_BITS)
+
+
+@query()
+def near_dup_clusters_exact(t: Tables):
+    """Rows only: clusters of equal texts and of the pairs of hamming_pairs_exact."""
+    docs = t.documents.withColumn("_h", F.sha2("text", 256))
+    first = docs.where("_h is not null").groupBy("_h").agg(F.min("doc_id").alias("a"))
+    same = docs.join(first, "_h").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    pairs = dedup.near_pairs(_signed(t), bits=64, most=dedup.MAX_BITS).select("a", "b").unionByName(same)
+    return dedup.clusters(t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")), pairs)
+
+
 @query()
 def simhash_exact(t: Tables):
     """Rows only: BLAKE2b has no SQL."""

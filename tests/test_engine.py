@@ -80,6 +80,38 @@ def test_simhash_is_the_majority_of_digests(spark):
     assert [got[i] for i in range(4)] == [plain(t) for t in texts]
 
 
+def test_near_duplicates_of_six_bits_equal_brute_force(spark, tmp_path):
+    from loomspark.plans import catalogue
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 999)}" for _ in range(400)] for _ in range(6)]
+    texts = ["", "!!", "..."]
+    for words in base:
+        texts += [" ".join(words)] * 2
+        for k in (1, 2, 3, 5, 8, 12, 20):
+            edited = list(words)
+            for at in rng.sample(range(400), k):
+                edited[at] = "edited"
+            texts.append(" ".join(edited))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sig = {r["id"]: int(r["simhash"], 16) for r in dedup.simhash_exact(docs, "doc_id", "text").collect() if r["simhash"]}
+    far = {(a, b): (sig[a] ^ sig[b]).bit_count() for a in sig for b in sig if a < b}
+    near = {p for p, d in far.items() if d <= 6}
+    assert {3, 4, 5, 6} & {far[p] for p in near}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    pairs = catalogue.QUERIES["hamming_pairs_exact"](spark, str(tmp_path)).collect()
+    assert all(far[r["a"], r["b"]] == r["distance"] for r in pairs)
+    # Equal signatures are met once, at the first of them.
+    first = {h: min(i for i in sig if sig[i] == h) for h in sig.values()}
+    assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a, b in near if (a == first[sig[a]] and b == first[sig[b]]) or (sig[a] == sig[b] and a == first[sig[a]])}
+    found = catalogue.QUERIES["near_dup_clusters_exact"](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["cluster_id"] for r in found} == dict(enumerate(root))
+
+
 def test_sentence_packing_equals_a_plain_loop(spark):
     import re
 
