@@ -40,6 +40,12 @@ def document_frequency(t: Tables):
     return retrieval.term_frequency(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
 
 
+@query()
+def document_frequency_whole(t: Tables):
+    """Rows only: all terms, rare ones too."""
+    return retrieval.term_frequency(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+
+
 @query(f"""
 with q as (select item_id as query_id, list_distinct(list_filter({SYLLABLES.format('text')}, lambda t: length(t) > 1)) as toks from benchmark where item_id % 4 = 0), d as (select doc_id as id, replace(strip_accents(lower(text)), 'đ', 'd') as f from documents),
 s as (select query_id, id, len(list_filter(toks, lambda t: contains(f, t))) / len(toks)::double as score from d, q where len(toks) > 0),
@@ -50,6 +56,13 @@ def fts_token_fraction(t: Tables):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def fts_token_fraction_whole(t: Tables):
+    """Rows only: all questions."""
+    found = retrieval.token_fraction(t.documents, "doc_id", "text", _questions(t), K)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _VEC = "vs as (select q.vec_id as query_id, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score from embeddings v, embeddings q where q.vec_id % 50 = 0), ve as (select *, row_number() over (partition by query_id order by score desc, id) as rank from vs)"
 
 
@@ -97,9 +110,9 @@ def _entities(t: Tables):
     return t.part.select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 0, "Project").otherwise("Ward").alias("entity_type"), F.col("p_name").alias("canonical_key"), F.array("p_name", "p_brand").alias("names"))
 
 
-def _asked(t: Tables):
+def _asked(t: Tables, every: int = 100):
     """Questions that name parts, made from lines of orders."""
-    named = t.lineitem.where("l_orderkey % 100 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    named = t.lineitem.where(F.col("l_orderkey") % every == 0).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return named.select(F.col("l_orderkey").alias("query_id"), F.col("p_name").alias("n"), "l_linenumber").groupBy("query_id").agg(F.concat_ws(" so sánh ", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "n"))), lambda x: x["n"])).alias("query"))
 
 
@@ -117,6 +130,19 @@ def query_router(t: Tables):
     return retrieval.route(asked, retrieval.match_entities(_entities(t), asked)).select("query_id", "intent", "mode", "project")
 
 
+@query()
+def entity_match_whole(t: Tables):
+    """Rows only: the questions of a search set, ids divisible by 50."""
+    return retrieval.match_entities(_entities(t), _asked(t, 50)).select("query_id", "canonical_key", "entity_type", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def query_router_whole(t: Tables):
+    """Rows only: all questions of a search set, ids divisible by 50."""
+    asked = _asked(t, 50)
+    return retrieval.route(asked, retrieval.match_entities(_entities(t), asked)).select("query_id", "intent", "mode", "project")
+
+
 @query(f"with {_BM25}, {_VEC}, l as (select query_id, id, 0.6::double / (60 + rank) as s, 'bm25' as b from bm where rank <= 30 union all select query_id, id, 1.0::double / (60 + rank), 'vector' from ve where rank <= 30), f as (select query_id, id, sum(s) as score, string_agg(b, '+' order by b) as retriever from l group by all), r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank from f) select query_id, id, round(score, 6) as score, retriever, rank from r where rank <= {K}")
 def hybrid_r1(t: Tables):
     bm = retrieval.bm25(t.documents, "doc_id", "text", _questions(t), retrieval.OVERFETCH * K)
@@ -129,10 +155,20 @@ _REACH = "e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst from
 
 @query(f"with {_REACH} select query_id, id, round(score, 6) as score, rank from gr where rank <= {K}")
 def graph_retrieve(t: Tables):
+    return _reached(t, t.supplier.where("s_suppkey % 10 = 0"))
+
+
+@query()
+def graph_retrieve_whole(t: Tables):
+    """Rows only: all suppliers as starts."""
+    return _reached(t, t.supplier)
+
+
+def _reached(t: Tables, suppliers):
     from loomspark.operators import graph
     from loomspark.plans.facts_graph import _places
 
-    starts = t.supplier.where("s_suppkey % 10 = 0").select(F.expr("'s' || s_suppkey").alias("start"), F.col("s_suppkey").alias("query_id"))
+    starts = suppliers.select(F.expr("'s' || s_suppkey").alias("start"), F.col("s_suppkey").alias("query_id"))
     near = graph.capped_by_depth(graph.traverse(_places(t), starts.select("start")), K).join(starts, "start")
     return near.select("query_id", F.col("node").alias("id"), F.round(1 / (1 + F.col("depth")), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

@@ -22,6 +22,12 @@ def deaccent_tokens(t: Tables):
     return t.documents.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.slice(tokens, 1, 20), " ").alias("head"))
 
 
+@query()
+def deaccent_tokens_whole(t: Tables):
+    """Rows only: all tokens of each text."""
+    return t.documents.select("doc_id", text.syllables(F.col("text")).alias("tokens"))
+
+
 @query(f"with s as (select doc_id, {SYLLABLES.format('text')} as s from documents), w as (select doc_id, unnest(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || '_' || s[i + 1]))) as term from s) select doc_id as id, term, count(*) as tf from w group by all")
 def term_frequency(t: Tables):
     return retrieval.term_frequency(t.documents, "doc_id", "text")
