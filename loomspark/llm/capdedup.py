@@ -11,6 +11,8 @@ ones at any size. (With one height for all caps, half of the vectors have no dir
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,14 +70,14 @@ def _unit(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def _decoded(code, dim: int):
+def _decoded(code, dim: int, base: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = code.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 unit, good = _unit(part.column("embedding").to_pylist(), dim)
-                found = c.filters(unit[good])
+                found = c.filters(unit[good]) + base
                 ids = [x for x, g in zip(part.column("nid").to_pylist(), good, strict=True) if g]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([u.tobytes() for u in unit[good]], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["nid", "unit", "own", "filters"])
 
@@ -158,24 +160,30 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> Da
     (see README for the measured recall) and none below it. Equal vectors are one node with a number of
     copies. component_id is the smallest vec_id reachable by links.
 
-    A vector that is null, empty, zero, of another dimension than most, or holds null or non-finite components
-    links with nothing: n_links 0, its own id as component_id, kept. Repeated rows are separate rows that link
+    Vectors of different dimensions do not link. A vector that is null, empty, zero, or holds null or non-finite
+    components links with nothing: n_links 0, its own id as component_id, kept. Repeated rows are separate rows that link
     with each other. An empty table gives no rows. Labels and other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", F.expr("transform(embedding, x -> cast(x as double))").alias("_v"))
     bad = F.col("_v").isNull() | F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("_v", lambda x: x != 0)
     rows = rows.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    dims = rows.where("not _bad").groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 1
+    dims = sorted(r["d"] for r in rows.where("not _bad").select(F.size("_v").alias("d")).distinct().collect()) or [1]
     # Equal vectors have equal keys: 128 bits over the components.
     key = F.unhex(F.md5(F.concat_ws(",", F.transform("_v", lambda x: (x + 0.0).cast("string"))).cast("binary")))
-    rows = materialize(rows.select("vec_id", "embedding", F.when(~F.col("_bad") & (F.size("_v") == dim), key).alias("key")), "caps-rows")
+    rows = materialize(rows.select("vec_id", "embedding", F.when(~F.col("_bad"), key).alias("key")), "caps-rows")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rid"), F.count("*").alias("times"), F.first("embedding").alias("embedding"))
     nodes = materialize(nodes.withColumn("nid", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")), "caps-nodes")
-    code = spark.sparkContext.broadcast(Code(dim, nodes.count(), seed))
-    decoded = nodes.select("nid", "embedding").mapInArrow(_decoded(code, dim), "nid long, unit binary, own binary, filters array<long>")
-    held = materialize(decoded.join(nodes.select("nid", "times"), "nid"), "caps-filters")
+    # Vectors of each dimension have a code, and so filters, of their own: the numbers of another's lie beyond them.
+    sizes = {r["d"]: r["count"] for r in nodes.groupBy(F.size("embedding").alias("d")).count().collect()}
+    decoded, base = [], 0
+    for dim in dims:
+        of_dim = Code(dim, sizes.get(dim, 0), seed)
+        code = spark.sparkContext.broadcast(of_dim)
+        mine = nodes.where(F.size("embedding") == dim).select("nid", "embedding")
+        decoded.append(mine.mapInArrow(_decoded(code, dim, base), "nid long, unit binary, own binary, filters array<long>"))
+        base += of_dim.words**PARTS
+    held = materialize(reduce(DataFrame.unionByName, decoded).join(nodes.select("nid", "times"), "nid"), "caps-filters")
     sizes = held.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.expr(f"cast((count + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
     member = held.select(F.explode("filters").alias("f"), "nid", "unit", "own", "times").hint("merge").join(sizes, "f")
     member = member.withColumn("side", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))

@@ -248,6 +248,22 @@ def test_near_vectors_equal_brute_force(spark):
     assert capdedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_of_every_dimension(spark):
+    rng = np.random.default_rng(4)
+    rows, groups = [], []
+    for dim, n in ((32, 20), (8, 6), (3, 4), (1, 2)):
+        first = len(rows)
+        base = rng.standard_normal(dim)
+        rows += [(base * (k + 1)).tolist() for k in range(n)]
+        groups += [first] * n
+    rows.append((-np.array(rows[-1])).tolist())
+    groups.append(len(rows) - 1)
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in capdedup.near_vectors(table).collect()}
+    assert [got[i]["component_id"] for i in range(len(rows))] == groups
+    assert [got[i]["n_links"] for i in range(len(rows))] == [groups.count(g) - 1 for g in groups]
+
+
 def test_jaccard_near_copies_of_many_kinds(spark):
     """Copies of a few texts with edits at random places: similarities on both sides of the threshold, prefixes that differ."""
     rng = random.Random(7)
