@@ -7,20 +7,34 @@ from pyspark.sql import functions as F
 
 from loomspark.scratch import materialize
 
+#: Nodes whose smallest neighbours are told to all tasks. Beyond it only hubs' are: at most one for each ``HUB_EDGES`` edges.
+MAX_BROADCAST_NODES = 300_000
+HUB_EDGES = 4096
+
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each u has one v and no v is a u."""
     twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).select("u")
-    return twice.unionByName(edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).select("u")).isEmpty()
+    return twice.unionByName(edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1)).isEmpty()
+
+
+def _with_least(edges: DataFrame, max_nodes: int) -> DataFrame:
+    """(u, v, m) of each edge, m being u's smallest v. No task gets all edges of a hub."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components-least")
+    told = least.select("u", "m")
+    if least.count() <= max_nodes:
+        return edges.join(F.broadcast(told), "u")
+    hubs = F.broadcast(least.where(F.col("n") > HUB_EDGES).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(told.hint("merge"), "u"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, max_nodes: int = MAX_BROADCAST_NODES) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
-    Each round is two aggregations and two joins on the node, so a node with many neighbours is
-    pre-aggregated in the map stage and its join is left to the adaptive skew handling. Rounds end when
-    the edges are stars around smallest nodes, which takes a number of rounds logarithmic in the longest
-    path. Null ends, loops and repeated edges are ignored. Only counts reach the driver.
+    Each round is two aggregations, combined in the map stage, and two joins in which a hub's edges stay where
+    they are: its smallest neighbour is broadcast to them, by its own if few nodes have edges, else with other
+    hubs'. Rounds end when the edges are stars around smallest nodes, which takes a number of rounds logarithmic
+    in the longest path. Null ends, loops and repeated edges are ignored. Only counts reach the driver.
     """
     now = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -31,10 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if _stars(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u")
+        large = _with_least(both, max_nodes).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(materialize(large, "components-large"), max_nodes)
         now = materialize(
             small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(),
             "components",
