@@ -28,7 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("sid")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("key", "component")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
