@@ -108,9 +108,34 @@ def number(token: Column) -> Column:
     return F.when(v.contains("."), F.regexp_replace(F.regexp_replace(v, "0+$", ""), r"\.$", "")).otherwise(v)
 
 
+def two_decimals(value: Column) -> Column:
+    """A number with two decimals, rounded as its binary value lies, and to even only where that is a tie.
+
+    Java rounds the shortest decimal that names the number, up: 1.615 would be 1.62, though it is a little less.
+    From 2^-8 to 2^10 the number times a power of two is a whole number, whose hundredths are exact; beyond, what
+    Java gives.
+    """
+
+    def exact(x: Column) -> Column:
+        shift = F.when(x < 4, F.lit(1 << 60)).otherwise(F.lit(1 << 52))
+
+        def hundredths(s: Column) -> Column:
+            units = (x * s.cast("double")).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+            one = s.cast("decimal(19,0)")
+            left = F.pmod(units, one)
+            low = ((units - left) / one).cast("bigint")
+            twice = left * F.lit(2).cast("decimal(1,0)")
+            up = (twice > one) | ((twice == one) & (low % 2 == 1))
+            return let(low + up.cast("bigint"), lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0")))
+
+        return let(shift, hundredths)
+
+    return let(value.cast("double"), lambda x: F.when((x >= 2.0**-8) & (x < 2.0**10), exact(x)).otherwise(F.format_string("%.2f", x)))
+
+
 def price_label(value: Column) -> Column:
-    big = F.concat(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value / 1e9), "0+$", ""), r"\.$", ""), F.lit(" tỷ"))
-    return F.when(value >= 1e9, big).otherwise(F.concat(F.format_string("%.0f", value / 1e6), F.lit(" triệu")))
+    big = F.concat(F.regexp_replace(F.regexp_replace(two_decimals(value / 1e9), "0+$", ""), r"\.$", ""), F.lit(" tỷ"))
+    return F.when(value >= 1e9, big).otherwise(F.concat(F.format_string("%.0f", F.bround(value / 1e6)), F.lit(" triệu")))
 
 
 def evidence(text: Column, start: Column, end: Column, pad: int = 40) -> Column:

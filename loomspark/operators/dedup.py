@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,10 @@ from pyspark.sql.window import Window
 
 from loomspark.functions.text import let, syllables
 from loomspark.operators.components import connected_components
+from loomspark.scratch import materialize
 
-#: Bits that may differ, bands of the signature, words of a shingle.
-MAX_BITS, BANDS, SHINGLE = 6, 8, 3
+#: Bits that may differ, words of a shingle.
+MAX_BITS, SHINGLE = 6, 3
 
 
 def shingles(tokens: Column, width: int = SHINGLE) -> Column:
@@ -67,20 +69,36 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(64))
 
 
-def band_keys(simhash: Column, bits: int, bands: int = BANDS) -> Column:
-    width = bits // bands
-    return F.array(*[F.concat_ws(":", F.lit(i), F.shiftright(simhash, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(bands)])
+def tables(bits: int, most: int, n: int, load: int = 4, blocks: int = 10) -> list[list[tuple[int, int]]]:
+    """Sets of blocks (from, width) of a signature, of which two signatures within ``most`` bits share one whole.
+
+    Cut into m blocks, they differ in ``most`` at most, so some m - ``most`` are equal. More blocks make wider keys
+    and more sets; as few are taken as let a key of ``n`` signatures hold ``load`` unrelated ones, at most ``blocks``.
+    """
+    for m in range(most + 1, max(most + 1, min(blocks, bits)) + 1):
+        cuts = [bits * i // m for i in range(m + 1)]
+        own = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        sets = [list(x) for x in combinations(own, m - most)]
+        if n <= load << min(sum(w for _, w in x) for x in sets):
+            break
+    return sets
+
+
+def band_keys(simhash: Column, sets: list[list[tuple[int, int]]]) -> Column:
+    part = lambda a, w: F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
+    return F.array(*[F.xxhash64(F.lit(i), *[part(a, w) for a, w in own]) for i, own in enumerate(sets)])
 
 
-def near_pairs(signatures: DataFrame, bits: int = 32, bands: int = BANDS, most: int = MAX_BITS) -> DataFrame:
-    """(a, b, distance) of (id, simhash) within ``most`` bits that share a band.
+def near_pairs(signatures: DataFrame, bits: int = 32, most: int = MAX_BITS) -> DataFrame:
+    """(a, b, distance) of all (id, simhash) within ``most`` bits.
 
-    Equal signatures are one representative in the band join, and the others are tied to it: a large group of
-    copies adds a row for each copy, not for each pair.
+    Equal signatures are one representative in the join, and the others are tied to it: a large group of copies
+    adds a row for each copy, not for each pair. Representatives meet by sets of blocks that are equal, as wide
+    as their number asks for.
     """
-    rep = signatures.groupBy("simhash").agg(F.min("id").alias("id"))
+    rep = materialize(signatures.groupBy("simhash").agg(F.min("id").alias("id")), "hamming")
     star = signatures.join(rep.withColumnRenamed("id", "a"), "simhash").where("id != a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    banded = rep.withColumn("band", F.explode(band_keys(F.col("simhash"), bits, bands)))
+    banded = rep.withColumn("band", F.explode(band_keys(F.col("simhash"), tables(bits, most, rep.count()))))
     x, y = banded.select("band", F.col("id").alias("a"), F.col("simhash").alias("ha")), banded.select("band", F.col("id").alias("b"), F.col("simhash").alias("hb"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     near = x.join(y, "band").where((F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.alias("distance")).distinct()
@@ -97,5 +115,5 @@ def clusters(records: DataFrame, pairs: DataFrame, id_: str = "id", length: str
 
 
 def exact_clusters(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(cluster_key, cluster_id, size, representative) of equal texts, by SHA-256; map-side sums, no window."""
+    """(cluster_key, cluster_id, cluster_size) of equal texts, by SHA-256, cluster_id being the smallest id; map-side sums, no window."""
     return docs.groupBy(F.sha2(text, 256).alias("cluster_key")).agg(F.min(id_).alias("cluster_id"), F.count("*").alias("cluster_size"))

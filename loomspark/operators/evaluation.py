@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions.text import SENTENCE, deaccent, number, split_position
+from loomspark.functions.text import SENTENCE, deaccent, let, number, split_position, two_decimals
+from loomspark.scratch import materialize
 
 #: Fixed values.
 RATIOS = (("train", 0.70), ("validation", 0.85), ("test", 1.0))
@@ -47,12 +50,11 @@ def score_queries(results: DataFrame, expected: DataFrame) -> DataFrame:
 
     Group precision counts results, item precision distinct items, both as a share of what is reachable; measures of groups are null where none is expected.
     """
-    joined = results.join(expected, "query_id", "right")
+    joined = results.join(expected, ["query_id", "config"] if "config" in expected.columns else "query_id", "right")
     right_group, right_item = F.array_contains("groups", F.col("group")), F.array_contains("items", F.col("item"))
-    right = F.when(F.size("groups") > 0, right_group).otherwise(right_item)
     agg = joined.groupBy("config", "query_id").agg(
         F.count("item").alias("n"), F.count_if(right_group).alias("n_group"), F.count_distinct("item").alias("n_items"),
-        F.count_distinct(F.when(right_item, F.col("item"))).alias("n_right"), F.min(F.when(right, F.col("rank"))).alias("first"),
+        F.count_distinct(F.when(right_item, F.col("item"))).alias("n_right"), F.min(F.when(right_group, F.col("rank"))).alias("first"),
         F.max(F.size("items")).alias("n_expected"), F.max(F.size("groups")).alias("n_groups"),
     )
     ceiling = F.least(F.lit(1.0), F.try_divide("n_expected", "n_items"))
@@ -62,16 +64,45 @@ def score_queries(results: DataFrame, expected: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide("n_right", "n_items"), F.lit(0.0)).alias("item_precision"),
         F.coalesce(F.try_divide(F.try_divide("n_right", "n_items"), ceiling), F.lit(0.0)).alias("item_precision_normalised"),
         F.coalesce(F.try_divide("n_right", "n_expected"), F.lit(0.0)).alias("recall"),
-        F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0).alias("hit"),
-        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
+        F.when(F.col("n_groups") > 0, F.col("first").isNotNull().cast("double")).alias("hit"),
+        F.when(F.col("n_groups") > 0, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
     )
 
 
+def score_configs(results: DataFrame, expected: DataFrame, configs: Sequence[str]) -> DataFrame:
+    """:func:`score_queries` of each config in ``configs`` for each question in ``expected``, also where it found nothing."""
+    every = expected.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
+    return score_queries(results, every)
+
+
+def mean_scores(scored: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Means by config, overall and by query_type, of the measures that a question has; ``names`` renames them."""
+    both = scored.withColumn("level", F.explode(F.array(F.lit("overall"), F.col("query_type"))))
+    return both.groupBy("config", "level").agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name) for c, name in names.items()], F.count("mrr").alias("mrr_n"))
+
+
 def allowed_numbers(facts: Column) -> Column:
-    """Normalised numbers in an array of fact texts."""
+    """Normalised numbers in an array of texts."""
     return F.array_distinct(F.flatten(F.transform(facts, lambda t: F.transform(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), number))))
 
 
+def allowed_of_facts(facts: Column) -> Column:
+    """Numbers that an array of facts (text, value_text, value_num, valid_from, valid_to) supports.
+
+    Those of their texts and dates, and each one's own number with two decimals, also in billions and in
+    millions where it reaches one.
+    """
+    texts = F.transform(facts, lambda f: F.concat_ws(" ", f["text"], f["value_text"], f["valid_from"].cast("string"), f["valid_to"].cast("string")))
+    two = lambda v: number(two_decimals(v))
+
+    def scaled(f: Column) -> Column:
+        v = f["value_num"].cast("double")
+        forms = F.array(two(v), F.when(v >= 1e9, two(v / 1e9)), F.when(v >= 1e6, two(v / 1e6)))
+        return F.when(F.coalesce(v, F.lit(0.0)) != 0, F.array_compact(forms)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.flatten(F.transform(facts, scaled)), lambda s: F.array_union(allowed_numbers(texts), s))
+
+
 def claims(body: Column, allowed: Column, forbidden: tuple[str, ...] = FORBIDDEN) -> Column:
     """array<struct(text, status, numbers)>: sentences with a number or an attribute, held against the allowed numbers."""
     parts = F.transform(F.split(F.regexp_replace(F.coalesce(body, F.lit("")), r"https?://\S+", " "), SENTENCE), lambda s: F.regexp_replace(s, r"^[ \-•\t]+|[ \-•\t]+$", ""))
@@ -162,11 +193,22 @@ def bootstrap_interval(values: DataFrame, keys: list[str], n: int = BOOTSTRAPS,
 
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """min, element n div 2, element floor(0.9 n) and max of the sorted values, by rank and not by interpolation."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda at: F.max(F.when(F.col("_r") == at, F.col(value)))
-    return r.groupBy(*keys).agg(F.min(value).alias("low"), pick(F.expr("_n div 2")).alias("median"), pick(F.floor(F.col("_n") * 9 / F.lit(10))).alias("p90"), F.max(value).alias("high"))
+    """min, element n div 2, element floor(0.9 n) and max of the sorted values, by rank and not by interpolation.
+
+    Equal values are counted first. What is left is sorted over all partitions; a partition's counts for each key
+    tell where the next one's ranks begin, so no task gets all values of a key.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    held = materialize(counts.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value).withColumn("_p", F.spark_partition_id()), "ranks")
+    parts = held.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q")).agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    begins = parts.withColumn("_b", F.coalesce(F.sum("_s").over(w.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_s").over(w))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    placed = held.join(begins, [*same, F.col("_p") == F.col("_q")])
+    upto = F.col("_b") + F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value))
+    r = placed.withColumn("_u", upto)
+    at = lambda i: F.min(F.when(F.col("_u") > i, F.col(value)))
+    return r.groupBy(*keys).agg(F.min(value).alias("low"), at(F.expr("_n div 2")).alias("median"), at(F.floor(F.col("_n") * 9 / F.lit(10))).alias("p90"), F.max(value).alias("high"))
 
 
 def price_band(value: Column, unit: float = 1.0) -> Column:

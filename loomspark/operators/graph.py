@@ -33,13 +33,18 @@ def both_ways(edges_: DataFrame) -> DataFrame:
     return fwd.unionByName(edges_.select(F.col("dst").alias("a"), F.col("src").alias("b"), "edge_type", F.lit("in").alias("direction")))
 
 
-def traverse(edges_: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """Simple paths of up to ``depth`` edges from the nodes of ``starts`` (start), either way: (start, node, depth, nodes, types)."""
+def traverse(edges_: DataFrame, starts: DataFrame, depth: int = 2, along: tuple[str, ...] | None = None) -> DataFrame:
+    """Simple paths of up to ``depth`` edges from the nodes of ``starts`` (start): (start, node, depth, nodes, types).
+
+    Either way; or only forward, by the types of ``along`` in their order. All paths through a hub are asked for,
+    so either way is for a stated set of starts; :func:`nearest` is the way for all of them.
+    """
     adjacent = both_ways(edges_)
     now = starts.select("start", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("types"))
     out = None
     for d in range(1, depth + 1):
-        now = now.join(adjacent, F.col("node") == F.col("a")).where(~F.array_contains("nodes", F.col("b"))).select(
+        step = adjacent if along is None else adjacent.where((F.col("direction") == "out") & (F.col("edge_type") == along[d - 1]))
+        now = now.join(step, F.col("node") == F.col("a")).where(~F.array_contains("nodes", F.col("b"))).select(
             "start", F.col("b").alias("node"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("types", F.col("edge_type")).alias("types")
         )
         one = now.withColumn("depth", F.lit(d))
@@ -62,3 +67,20 @@ def capped_by_depth(paths: DataFrame, cap: int) -> DataFrame:
     """The nearest ``cap`` nodes of each start, by (depth, node)."""
     near = paths.groupBy("start", "node").agg(F.min("depth").alias("depth"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("depth", "node"))).where(F.col("rank") <= cap)
+
+
+def nearest(edges_: DataFrame, starts: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
+    """(start, node, depth, path): of the nodes of ``wanted`` (node) within two edges of each start, the first ``cap`` by (depth, node).
+
+    A hub's neighbours are cut before they are joined: of its wanted ones only the first cap + 1 can be among a
+    start's first ``cap`` that are not the start itself or nearer. path is the smallest of the shortest ones.
+    """
+    adjacent = both_ways(edges_).groupBy("a", "b").agg(F.min("edge_type").alias("t"))
+    goal = adjacent.join(wanted.select(F.col("node").alias("b")).distinct(), "b", "left_semi")
+    first = goal.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("i") <= 2 * cap + 1).drop("i")
+    label = lambda p, t, n: F.concat_ws(" ", p, F.concat(F.lit("--"), t, F.lit("-->")), n.cast("string"))
+    one = starts.select("start").join(first, F.col("start") == F.col("a")).where("b <> start").select("start", F.col("b").alias("node"), F.lit(1).alias("depth"), label(F.col("start").cast("string"), F.col("t"), F.col("b")).alias("path"))
+    middle = starts.select("start").join(adjacent.select("a", F.col("b").alias("m"), F.col("t").alias("t1")), F.col("start") == F.col("a")).drop("a")
+    two = middle.join(first, F.col("m") == F.col("a")).where("b <> start").select("start", F.col("b").alias("node"), F.lit(2).alias("depth"), label(label(F.col("start").cast("string"), F.col("t1"), F.col("m")), F.col("t"), F.col("b")).alias("path"))
+    near = one.unionByName(two).groupBy("start", "node").agg(F.min(F.struct("depth", "path")).alias("f")).select("start", "node", "f.depth", "f.path")
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("start").orderBy("depth", "node"))).where(F.col("_r") <= cap).drop("_r")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions.text import deaccent, syllables, terms
+from loomspark.functions.text import deaccent, let, syllables, terms
+from loomspark.operators import blocks, graph
+from loomspark.operators.index import Index
 
 #: Fixed values.
 K1, B, RRF_K, OVERFETCH, MAX_ENTITIES, MAX_PROJECTS, MIN_ENTITY_TOKENS = 1.5, 0.75, 60, 3, 5, 10, 2
@@ -29,6 +31,9 @@ INTENT_WEIGHTS = {
 }
 DISCOVERY_WEIGHTS = {"vector": 1.0, "bm25": 0.3, "graph": 0.9}
 HYBRID_WEIGHTS = {"bm25": 0.6, "vector": 1.0}
+DEFAULT_WEIGHTS = {"vector": 1.0, "bm25": 0.6, "graph": 0.3}
+#: Terms of the questions that are named in the plan, so that files of postings are skipped by them.
+MAX_NAMED_TERMS = 2000
 
 
 def ranked(df: DataFrame, k: int | None, id_: str = "id", by: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
@@ -57,30 +62,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
 
 
-def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """BM25 of many questions at once. Tokens of documents that no question has are dropped before anything is shuffled.
+def bm25_index(index: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
+    """BM25 of many questions at once, from the postings of their terms.
 
     The questions' terms are a stated set and go to all tasks by Spark's own size check, not by a forced hint.
     """
     wanted = query_terms(queries)
-    vocabulary = wanted.select("term").distinct()
-    tokens = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    tf = tokens.join(vocabulary, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    named = [r["term"] for r in wanted.select("term").distinct().limit(MAX_NAMED_TERMS + 1).collect()]
+    held = index.postings.where(F.col("term").isin(named)) if len(named) <= MAX_NAMED_TERMS else index.postings
+    tf = held.join(wanted.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(wanted.join(df, "term"), "term").crossJoin(F.broadcast(corpus_stats(docs, text)))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.greatest("dl", F.lit(1)) / F.col("avgdl"))
+    hits = tf.join(wanted.join(df, "term"), "term")
+    idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + K1 * (1 - B + B * F.greatest("dl", F.lit(1)) / F.lit(index.avgdl))
     # Rounded, so that equal scores are equal in whatever order they were summed.
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
     return ranked(scored, k)
 
 
-def token_fraction(docs: DataFrame, id_: str, text: str, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Share of a question's tokens (two characters or more) that occur in the text as substrings."""
-    asked = queries.select("query_id", F.array_distinct(F.filter(syllables(F.col("query")), lambda t: F.length(t) > 1)).alias("tokens")).where(F.size("tokens") > 0)
-    flat = docs.select(F.col(id_).alias("id"), deaccent(F.col(text)).alias("flat"))
-    hit = F.size(F.filter("tokens", lambda t: F.col("flat").contains(t)))
-    return ranked(flat.crossJoin(F.broadcast(asked)).select("query_id", "id", (hit / F.size("tokens")).alias("score")).where("score > 0"), k)
+def question_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, tokens): tokens of two characters or more, once each."""
+    return queries.select("query_id", F.array_distinct(F.filter(syllables(F.col("query")), lambda t: F.length(t) > 1)).alias("tokens"))
+
+
+def token_fraction(texts: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Share of a question's tokens that occur in the text as substrings, of (id, flat) without accents."""
+    return ranked(blocks.token_scores(texts, question_tokens(queries), k), k)
 
 
 def or_query(text: Column) -> Column:
@@ -94,15 +101,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact nearest vectors of a stated set of query vectors, (id, embedding) against (query_id, query_embedding)."""
-    return ranked(vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("query_embedding"), F.col("embedding")).alias("score")), k)
+    """Exact nearest vectors of a stated set of query vectors, (id, embedding) against (query_id, query_embedding), in blocks."""
+    return ranked(blocks.vector_scores(vectors, queries, k), k)
 
 
 def fuse(lists: list[tuple[str, DataFrame]], weights: dict[str, float] | DataFrame, k: int | None = 10) -> DataFrame:
-    """Weighted reciprocal ranks. ``weights`` by branch, or a DataFrame (query_id, branch, weight). Ranks are those after restriction."""
+    """Weighted reciprocal ranks. ``weights`` by branch, or a DataFrame (query_id, branch, weight). Ranks are those after restriction.
+
+    path is that of the first branch in the list that has one.
+    """
     rows = None
     for i, (name, df) in enumerate(lists):
-        one = df.select("query_id", "id", "rank", F.lit(name).alias("branch"), F.lit(i).alias("branch_no"))
+        one = df.select("query_id", "id", "rank", F.lit(name).alias("branch"), F.lit(i).alias("branch_no"), F.col("path") if "path" in df.columns else F.lit(None).cast("string").alias("path"))
         rows = one if rows is None else rows.unionByName(one)
     if isinstance(weights, dict):
         given = F.create_map(*[x for n, w in weights.items() for x in (F.lit(n), F.lit(float(w)))])
@@ -110,7 +120,8 @@ def fuse(lists: list[tuple[str, DataFrame]], weights: dict[str, float] | DataFra
     else:
         rows = rows.join(weights, ["query_id", "branch"])
     score = F.round(F.sum(F.col("weight") / (RRF_K + F.col("rank"))), 12)
-    fused = rows.groupBy("query_id", "id").agg(score.alias("score"), F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("retriever"))
+    path = F.min_by("path", F.when(F.col("path").isNotNull(), F.col("branch_no"))).alias("path")
+    fused = rows.groupBy("query_id", "id").agg(score.alias("score"), F.array_join(F.array_sort(F.collect_set("branch")), "+").alias("retriever"), path)
     return ranked(fused, k).withColumn("score", F.bround("score", 6))
 
 
@@ -120,26 +131,28 @@ def restrict(results: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
 
 
 def intent(query: Column) -> Column:
-    flat = deaccent(query)
-    out = F.lit("general")
-    for name, hints in reversed(INTENT_HINTS):
-        found = F.lit(False)
-        for hint in hints:
-            found = found | flat.contains(hint)
-        out = F.when(found, name).otherwise(out)
-    return out
+    def of(flat: Column) -> Column:
+        out = F.lit("general")
+        for name, hints in reversed(INTENT_HINTS):
+            found = F.lit(False)
+            for hint in hints:
+                found = found | flat.contains(hint)
+            out = F.when(found, name).otherwise(out)
+        return out
+
+    return let(deaccent(query), of)
 
 
 def match_entities(entities: DataFrame, queries: DataFrame, k: int = MAX_ENTITIES) -> DataFrame:
     """Entities one of whose names is contained in the question; names of one word never match. The longest names first.
 
-    ``entities`` is (entity_id, entity_type, canonical_key, names array). A substring join has no key to be
-    dealt by; the questions are the stated side that is sent to all tasks.
+    ``entities`` is (entity_id, entity_type, canonical_key, names array). Different names are looked for in the
+    questions; of the entities of one name only those that may be among the first ``k`` go on.
     """
     names = entities.select("entity_id", "entity_type", "canonical_key", F.explode("names").alias("name")).withColumn("flat", F.trim(F.regexp_replace(deaccent(F.col("name")), "[-_]+", " ")))
-    names = names.where(F.size(F.split("flat", r"\s+")) >= MIN_ENTITY_TOKENS)
-    flat = queries.select("query_id", F.concat(F.lit(" "), deaccent(F.col("query")), F.lit(" ")).alias("q"))
-    hits = names.join(F.broadcast(flat), F.col("q").contains(F.col("flat")))
+    names = names.where(F.size(F.split("flat", r"\s+")) >= MIN_ENTITY_TOKENS).select("flat", "entity_id", "entity_type", "canonical_key").distinct()
+    first = names.withColumn("i", F.row_number().over(Window.partitionBy("flat").orderBy("canonical_key", "entity_id"))).where(F.col("i") <= k).drop("i")
+    hits = blocks.contained(names, queries.select("query_id", F.concat(F.lit(" "), deaccent(F.col("query")), F.lit(" ")).alias("q"))).join(first, "flat")
     best = hits.groupBy("query_id", "entity_id", "entity_type", "canonical_key").agg(F.max(F.length("flat")).alias("n"))
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "canonical_key", "entity_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -154,3 +167,77 @@ def route(queries: DataFrame, matched: DataFrame) -> DataFrame:
     for name, w in INTENT_WEIGHTS.items():
         weights = F.when(F.col("n").isNotNull() & (F.col("intent") == name), of(w)).otherwise(weights)
     return plan.select("query_id", "intent", F.when(F.col("n").isNotNull(), "targeted").otherwise("discovery").alias("mode"), F.when(F.col("n") == 1, F.col("one")).alias("project"), "allowed", weights.alias("weights"))
+
+
+def _of_project(results: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Results of the project that a question is held to, if to any, ranked anew."""
+    held = results.join(queries.select("query_id", F.col("project").alias("_project")), "query_id").join(chunks.select("id", "project"), "id")
+    kept = held.where(F.col("_project").isNull() | (F.col("project") == F.col("_project"))).drop("_project", "project", "rank")
+    return ranked(kept, k)
+
+
+def _branch(mode: str, index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """One branch of R1; ``queries`` is (query_id, query, query_embedding, project), project null where a question is not held to one."""
+    if mode == "bm25":
+        wide = bm25_index(index, queries, k * OVERFETCH).join(queries.select("query_id", F.col("project").isNotNull().alias("held")), "query_id").where(F.col("held") | (F.col("rank") <= k)).drop("held")
+        return _of_project(wide, index.chunks, queries, k)
+    if mode == "fts":
+        asked = question_tokens(queries).join(queries.select("query_id", "project"), "query_id")
+        return ranked(blocks.token_scores(index.chunks, asked, k), k)
+    return ranked(blocks.vector_scores(index.chunks.where("embedding is not null"), queries, k), k)
+
+
+def retrieve_r1(index: Index, queries: DataFrame, k: int = 10, mode: str = "hybrid") -> DataFrame:
+    """(query_id, id, score, retriever, rank, path) without a graph; mode is fts, bm25, vector, or hybrid of the latter two."""
+    if mode != "hybrid":
+        return _branch(mode, index, queries, k).select("query_id", "id", F.round("score", 6).alias("score"), F.lit(mode).alias("retriever"), "rank", F.lit(None).cast("string").alias("path"))
+    wide = k * OVERFETCH
+    return fuse([(m, _branch(m, index, queries, wide)) for m in ("bm25", "vector")], HYBRID_WEIGHTS, k).select("query_id", "id", "score", "retriever", "rank", "path")
+
+
+def retrieve_r2(chunks: DataFrame, entities: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, matched: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank, path): fact cards of the projects that a question's entities are or lead to within two edges.
+
+    The nearest MAX_PROJECTS projects of a question count, by depth and key; a card's score is 1 / (1 + depth).
+    Entities are (entity_id, entity_type, canonical_key, names), edges lead from entity_id to entity_id.
+    """
+    matched = match_entities(entities, queries) if matched is None else matched
+    starts = matched.select(F.col("entity_id").alias("start")).distinct()
+    project = entities.where("entity_type = 'Project'").select(F.col("entity_id").alias("node"), F.col("canonical_key").alias("project"))
+    own = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.col("start").cast("string").alias("path"))
+    near = own.unionByName(graph.nearest(edges, starts, project.select("node"), MAX_PROJECTS)).join(project, "node")
+    of_query = matched.select("query_id", F.col("entity_id").alias("start")).join(near, "start").groupBy("query_id", "project").agg(F.min(F.struct("depth", "path")).alias("f"))
+    w = Window.partitionBy("query_id").orderBy("f.depth", "project")
+    first = of_query.withColumn("i", F.row_number().over(w)).where(F.col("i") <= MAX_PROJECTS)
+    cards = chunks.where("chunk_type = 'facts'").select("id", "project")
+    # Of a project's cards, only the first k by id can be among a question's first k.
+    cards = cards.withColumn("i", F.row_number().over(Window.partitionBy("project").orderBy("id"))).where(F.col("i") <= k).drop("i")
+    scored = first.select("query_id", "project", (1 / (1 + F.col("f.depth"))).alias("score"), "f.path").join(cards, "project").drop("project")
+    return ranked(scored, k)
+
+
+def retrieve_r3(index: Index, entities: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, weights: dict[str, float] | None = None, use_router: bool = True) -> DataFrame:
+    """(query_id, id, score, retriever, rank, path): BM25, vectors and graph, restricted and weighted as the router says of each question, fused by reciprocal ranks.
+
+    Without the router, or for the branches in ``weights``, the weights are given. ``queries`` is (query_id, query, query_embedding).
+    """
+    matched = match_entities(entities, queries)
+    plan = route(queries.select("query_id", "query"), matched) if use_router else queries.select("query_id", F.lit(None).cast("string").alias("project"), F.lit(None).cast("array<string>").alias("allowed"))
+    asked = queries.drop("project").join(plan.select("query_id", "project"), "query_id")
+    wide = k * OVERFETCH
+    lists = [("bm25", _branch("bm25", index, asked, wide)), ("vector", _branch("vector", index, asked, wide)), ("graph", retrieve_r2(index.chunks, entities, edges, queries, wide, matched))]
+    if use_router:
+        allowed = plan.select("query_id", "allowed")
+        of = index.chunks.select("id", "project")
+
+        def restricted(df: DataFrame) -> DataFrame:
+            kept = df.join(allowed, "query_id").join(of, "id").where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("project")))
+            return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+        lists = [(n, restricted(df)) for n, df in lists]
+        given = plan.select("query_id", F.explode("weights").alias("branch", "weight"))
+        for name, w in (weights or {}).items():
+            given = given.withColumn("weight", F.when(F.col("branch") == name, F.lit(float(w))).otherwise(F.col("weight")))
+    else:
+        given = DEFAULT_WEIGHTS | (weights or {})
+    return fuse(lists, given, k).select("query_id", "id", "score", "retriever", "rank", "path")

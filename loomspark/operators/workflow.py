@@ -20,6 +20,11 @@ def latest(log: DataFrame, key: str, version: str, columns: list[str]) -> DataFr
     return top.select(key, "version", (F.col("version") + 1).alias("next_version"), "_t.*")
 
 
+def approved(versions: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Approved versions with the columns of their items."""
+    return versions.where("status = 'approved'").join(items, key)
+
+
 def _after(state: Column, action: Column) -> Column:
     out = F.lit(None).cast("string")
     for before, name, after in TRANSITIONS:

@@ -62,16 +62,17 @@ def _places(t: Tables):
 _EDGES = "e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'PART_OF' as ty from nation union all select 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN' from supplier), adj as (select src as a, dst as b, ty from e union all select dst, src, ty from e)"
 
 
-@query(f"with recursive {_EDGES}, p(start, node, depth, nodes, types) as (select 's' || s_suppkey, 's' || s_suppkey, 0, ['s' || s_suppkey], []::varchar[] from supplier union all select p.start, adj.b, p.depth + 1, list_append(p.nodes, adj.b), list_append(p.types, adj.ty) from p join adj on adj.a = p.node where p.depth < 2 and not list_contains(p.nodes, adj.b)) select start, node, depth, array_to_string(nodes, '>') as nodes, array_to_string(types, '>') as types from p where depth > 0")
+@query(f"with recursive {_EDGES}, p(start, node, depth, nodes, types) as (select 's' || s_suppkey, 's' || s_suppkey, 0, ['s' || s_suppkey], []::varchar[] from supplier where s_suppkey % 50 = 0 union all select p.start, adj.b, p.depth + 1, list_append(p.nodes, adj.b), list_append(p.types, adj.ty) from p join adj on adj.a = p.node where p.depth < 2 and not list_contains(p.nodes, adj.b)) select start, node, depth, array_to_string(nodes, '>') as nodes, array_to_string(types, '>') as types from p where depth > 0")
 def two_hop_paths(t: Tables):
-    paths = graph.traverse(_places(t), t.supplier.select(F.expr("'s' || s_suppkey").alias("start")))
+    """All paths of a search set of starts, ids divisible by 50: a path for each neighbour of a hub is the result."""
+    paths = graph.traverse(_places(t), t.supplier.where("s_suppkey % 50 = 0").select(F.expr("'s' || s_suppkey").alias("start")))
     return paths.select("start", "node", "depth", F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
 
 
 @query("select 's' || s_suppkey as start, 's' || s_suppkey || ' --LOCATED_IN--> n' || s_nationkey || ' --PART_OF--> r' || n_regionkey as path from supplier join nation on s_nationkey = n_nationkey")
 def typed_paths(t: Tables):
-    paths = graph.traverse(_places(t), t.supplier.select(F.expr("'s' || s_suppkey").alias("start")))
-    return paths.where("depth = 2 and node like 'r%'").select("start", graph.path_label(F.col("nodes"), F.col("types")).alias("path"))
+    paths = graph.traverse(_places(t), t.supplier.select(F.expr("'s' || s_suppkey").alias("start")), along=("LOCATED_IN", "PART_OF"))
+    return paths.where("depth = 2").select("start", graph.path_label(F.col("nodes"), F.col("types")).alias("path"))
 
 
 @query("select 'r' || r_regionkey as node_id, r_name from region where r_regionkey in (select n_regionkey from nation) and contains(lower(r_name), 'a')")
@@ -82,7 +83,10 @@ def with_building_semi(t: Tables):
 
 @query(f"with {_EDGES}, one as (select s.src as start, adj.b as node, 1 as depth from (select src from e where ty = 'LOCATED_IN') s join adj on adj.a = s.src), two as (select one.start, adj.b as node, 2 as depth from one join adj on adj.a = one.node where adj.b <> one.start), b as (select start, node, min(depth) as depth from (select * from one union all select * from two) group by all), r as (select *, row_number() over (partition by start order by depth, node) as rank from b) select start, node, depth, rank from r where rank <= 10")
 def depth_capped_projects(t: Tables):
-    return graph.capped_by_depth(graph.traverse(_places(t), t.supplier.select(F.expr("'s' || s_suppkey").alias("start"))), 10).withColumn("rank", F.col("rank").cast("long"))
+    edges = _places(t)
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    near = graph.nearest(edges, t.supplier.select(F.expr("'s' || s_suppkey").alias("start")), every, 10)
+    return graph.capped_by_depth(near, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()

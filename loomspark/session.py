@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.scratch import PLAIN_READS
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,14 +30,16 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     return spark
 
 
-#: Rows of a batch to Python. A text may take a hundred kilobytes, so Spark's own ten thousand are too many.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch to Python. A text may take a hundred kilobytes, so Spark's own ten thousand rows are too many.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hold batches to ``rows`` unless the session asks for fewer already."""
-    if int(spark.conf.get(BATCH, "10000")) > rows or int(spark.conf.get(BATCH, "10000")) <= 0:
-        spark.conf.set(BATCH, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Hold the session's batches to ``rows`` and ``size`` bytes from now on, unless it asks for fewer already. Results do not depend on it."""
+    for key, most in ((BATCH, rows), (BATCH_BYTES, size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,4 +48,4 @@ def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if root not in seen.get("PYTHONPATH", "").split(os.pathsep):
         seen["PYTHONPATH"] = os.pathsep.join(filter(None, [root, seen.get("PYTHONPATH", "")]))
     small_batches(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.options(**PLAIN_READS).parquet(f"{folder}/{name}.parquet")

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import cleaning, dedup, evaluation, facts, graph, ingest, retrieval, workflow
+from loomspark.functions import text
+from loomspark.operators import blocks, cleaning, dedup, embed, evaluation, facts, generation, graph, index, ingest, reports, retrieval, workflow
 from loomspark.operators.components import connected_components
 from loomspark.sources import files
 from loomspark.streaming import micro_batch
@@ -178,6 +179,107 @@ def test_statistics_queries_take_every_customer(spark, tmp_path):
     assert {r["c_nationkey"] for r in rows} == {4, 5, 6} and all(r["low"] < 28 < r["high"] for r in rows)
 
 
+def test_numbers_that_facts_support(spark):
+    fact = "struct<text: string, value_text: string, value_num: double, valid_from: string, valid_to: string>"
+    row = spark.createDataFrame([([("Giá: 4900", "4900", 4.9e9, "2024-01-05", None), (None, None, 0.0, None, "2025")],)], f"f array<{fact}>")
+    assert set(row.select(evaluation.allowed_of_facts(F.col("f")).alias("a")).first()["a"]) == {"4900", "2024", "01", "05", "4900000000", "4.9", "2025"}
+
+
+def test_two_decimals_follow_the_binary_value(spark):
+    rng = random.Random(1)
+    values = [1.615, 2.675, 1.005, 0.125, 0.375, 1.0, 1023.995, 4.9, 0.0039, 5000.125, 1.125] + [round(rng.uniform(0, 1000), 3) for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(text.two_decimals(F.col("v")).alias("t"), "v").collect()
+    assert all(r["t"] == f"{r['v']:.2f}" for r in got if 2.0**-8 <= r["v"] < 1024)
+
+
+def test_scores_without_expected_groups(spark):
+    results = spark.createDataFrame([("a", 1, 10, "g", 1), ("a", 1, 11, "h", 2), ("a", 2, 10, "g", 1)], "config string, query_id int, item int, `group` string, rank int")
+    expected = spark.createDataFrame([(1, [11, 12], ["h"]), (2, [10], []), (3, [5], ["g"])], "query_id int, items array<int>, groups array<string>")
+    got = {r["query_id"]: r for r in evaluation.score_configs(results, expected, ["a"]).collect()}
+    assert (got[1]["group_precision"], got[1]["mrr"], got[1]["hit"], got[1]["recall"]) == (0.5, 0.5, 1.0, 0.5)
+    assert (got[2]["group_precision"], got[2]["mrr"], got[2]["hit"], got[2]["recall"]) == (None, None, None, 1.0)
+    assert (got[3]["group_precision"], got[3]["mrr"], got[3]["hit"], got[3]["item_precision"]) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_every_near_signature_is_met(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(i, b) for i, b in enumerate(base)]
+    for k in range(120):
+        x = rng.choice(base)
+        for bit in rng.sample(range(64), rng.randint(0, 9)):
+            x ^= 1 << bit
+        rows.append((10 + k, x))
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in rows]
+    got = {(r["a"], r["b"]) for r in dedup.near_pairs(spark.createDataFrame(signed, "id long, simhash long"), 64, 6).collect()}
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= 6}
+    same = {(min(i for i, y in rows if y == x), b) for b, x in rows} - {(b, b) for b, _ in rows}
+    first = {x: min(i for i, y in rows if y == x) for _, x in rows}
+    assert got == {(a, b) for a, b in near if a == first[dict(rows)[a]] and b == first[dict(rows)[b]]} | same
+    assert all(len(dedup.tables(64, 6, n)) >= 7 for n in (1, 10**4, 10**9)) and len(dedup.tables(64, 6, 10**9)) == 210
+
+
+def test_hubs_are_cut_before_they_are_joined(spark):
+    edges = spark.createDataFrame([(f"s{i:03d}", "hub", "IN") for i in range(60)] + [("s000", "s050", "NEAR"), ("s050", "far", "NEAR")], "src string, dst string, edge_type string")
+    nodes = sorted({f"s{i:03d}" for i in range(60)} | {"far"})
+    got = graph.nearest(edges, spark.createDataFrame([("s000",), ("s059",), ("hub",)], "start string"), spark.createDataFrame([(n,) for n in nodes], "node string"), 3).collect()
+    assert sorted((r["start"], r["depth"], r["node"]) for r in got) == [("hub", 1, "s000"), ("hub", 1, "s001"), ("hub", 1, "s002"), ("s000", 1, "s050"), ("s000", 2, "far"), ("s000", 2, "s001"), ("s059", 2, "s000"), ("s059", 2, "s001"), ("s059", 2, "s002")]
+    assert {r["path"] for r in got if r["start"] == "s059" and r["node"] == "s001"} == {"s059 --IN--> hub --IN--> s001"}
+
+
+def test_questions_held_to_projects(spark):
+    rows = spark.createDataFrame([(i, f"w{i % 3} common", f"p{i % 2}", [1.0, float(i)]) for i in range(40)], "id long, flat string, project string, embedding array<double>")
+    asked = spark.createDataFrame([(1, ["common", "w1"], "p1", [1.0, 0.0]), (2, ["common"], None, [1.0, 0.0]), (3, ["none"], "p0", None)], "query_id long, tokens array<string>, project string, query_embedding array<double>")
+    best = retrieval.ranked(blocks.token_scores(rows, asked, 3), 3).collect()
+    assert sorted((r["query_id"], r["id"], r["score"]) for r in best) == [(1, 1, 1.0), (1, 7, 1.0), (1, 13, 1.0), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+    near = retrieval.ranked(blocks.vector_scores(rows, asked, 2), 2).collect()
+    assert sorted((r["query_id"], r["id"]) for r in near if r["query_id"] < 3) == [(1, 1), (1, 3), (2, 0), (2, 1)]
+
+
+def test_ranks_of_one_hot_key(spark):
+    rows = spark.createDataFrame([("a", v) for v in range(1000)] * 2 + [("b", 5), (None, 7), (None, 9)], "k string, v int")
+    got = {r["k"]: (r["low"], r["median"], r["p90"], r["high"]) for r in evaluation.nearest_rank(rows.repartition(7), "v", ["k"]).collect()}
+    assert got == {"a": (0, 500, 900, 999), "b": (5, 5, 5, 5), None: (7, 9, 9, 9)}
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+
+    def plain(t, dim):
+        words = t.lower().split()
+        v = [0.0] * dim
+        for token in words + [" ".join(words[i : i + 3]) for i in range(max(0, len(words) - 2))]:
+            n = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+            v[n % dim] += 1 if n >= 1 << 63 else -1
+        size = math.sqrt(sum(x * x for x in v)) or 1.0
+        return [x / size for x in v]
+
+    texts = ["A b c d", "one", "", None, "căn hộ hai phòng ngủ"]
+    got = {r["id"]: r["embedding"] for r in embed.embed(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 16).collect()}
+    assert all(got[i] == pytest.approx(plain(t or "", 16)) for i, t in enumerate(texts))
+
+
+def test_adapters_and_configurations():
+    assert generation.resolve_adapter("A", []) is None and generation.resolve_adapter("C", ["x"]) == "x" and generation.resolve_adapter("D", ["x", "y"], configured="y") == "y"
+    for given in ([], ["x", "y"]):
+        with pytest.raises(FileNotFoundError):
+            generation.resolve_adapter("C", given)
+    runnable, skipped = generation.available(("A", "B", "C", "Z"), [])
+    assert runnable == ["A", "B"] and set(skipped) == {"C", "Z"}
+
+
+def test_reports_of_odd_tables(spark):
+    rows = spark.createDataFrame([("x", None, []), (None, 1, [1]), ("x", 2, None)], "a string, b int, c array<int>")
+    assert {r["field"]: (r["n"], r["pct"]) for r in reports.coverage(rows, ("a", "b"), ("c",)).collect()} == {"a": (2, 66.7), "b": (2, 66.7), "c": (1, 33.3)}
+    assert {(r["measure"], r["key"]): r["n"] for r in reports.distributions(rows.limit(0), ("a",), "s").collect()} == {}
+    assert [r["pct"] for r in reports.coverage(rows.limit(0), ("a",)).collect()] == [0.0]
+    assert reports.by_key(rows, "b", 2).count() == 1 and reports.conditions(rows, a="x", b=None).count() == 2
+    left, gone = reports.cascade({"t": rows.withColumn("tenant_id", F.when(F.col("b") == 1, "u"))}, "u")
+    assert left["t"].count() == 2 and gone.first()["deleted"] == 1
+    page = reports.page("T", reports.distributions(rows, ("a",), "s").withColumn("pct", F.lit(None).cast("double")))
+    assert page.startswith("# T\n\n## s") and "| a | x | 2 |" in page
+
+
 def test_claims(spark):
     body = "Căn hộ giá 4.9 tỷ rất đẹp. Diện tích 80 m2 rộng rãi. Cam kết lợi nhuận 10 phần trăm. Xin chào. Xem https://x.vn/123 nhé các bạn."
     row = spark.createDataFrame([(body, ["giá 4,90 tỷ", "10"])], "b string, f array<string>").select(evaluation.claims(F.col("b"), evaluation.allowed_numbers(F.col("f"))).alias("c"))
@@ -188,7 +290,9 @@ def test_claims(spark):
 
 def test_bm25_prefers_rare_terms_and_is_never_negative(spark):
     docs = spark.createDataFrame([(1, "common common"), (2, "common rare"), (3, "common other"), (4, "")], "i long, t string")
-    got = retrieval.bm25(docs, "i", "t", spark.createDataFrame([(0, "rare common rare")], "query_id long, query string"), 10).orderBy("rank").collect()
+    held = index.build(docs.withColumnsRenamed({"i": "id", "t": "text"}))
+    got = retrieval.bm25_index(held, spark.createDataFrame([(0, "rare common rare")], "query_id long, query string"), 10).orderBy("rank").collect()
+    assert (held.n_docs, held.avgdl) == (4, 3.0)
     assert [r["id"] for r in got][0] == 2 and all(r["score"] > 0 for r in got) and 4 not in [r["id"] for r in got]
 
 

@@ -10,8 +10,8 @@ def one(spark, column, **values):
 
 
 PRICES = [
-    ("giá 5 tỷ 100", 5.1e9), ("4.9 tỷ", 4.9e9), ("850 triệu", 8.5e8), ("4,7 tỷ", 4.7e9), ("5 tỷ 1", 5.1e9), ("3 tỷ 2 phòng ngủ", 3e9), ("5 TỶ", 5e9),
-    ("2 tỷ hoặc 3 tỷ", None), ("cần vốn 2 tỷ", None), ("490 triệu vốn tự có", None), ("chiết khấu 500 triệu, giá bán 4 tỷ", 4e9), ("không rõ", None),
+    ("bán gấp 7 tỷ 250", 7.25e9), ("chỉ 920 triệu", 9.2e8), ("nhà 12,35 tỷ", 1.235e10), ("6.4 TỶ bớt lộc", 6.4e9), ("8 tỷ 3", 8.3e9), ("2 tỷ 3 phòng ngủ, 1 bếp", 2e9),
+    ("7 tỷ, hàng xóm 9 tỷ", None), ("vốn ban đầu 300 triệu", None), ("", None), ("tặng 50 triệu, giá bán 6 tỷ", 6e9), ("liên hệ để biết giá", None),
 ]
 
 
