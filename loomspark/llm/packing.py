@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.llm.lean import lean
 from loomspark.scratch import materialize
 
 Genes = dict[tuple[int, ...], int]
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16
 SHARD_ROWS = 512
 #: Fixed value: how byte-level BPE files split a text before merging.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,10 +48,21 @@ class Ids:
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4")
-        spec = json.loads(self.tokenizer.to_str())
+        self.path, self.end = path, np.array([end_id], "<u4")
+        made = Tokenizer.from_file(path)
+        spec = json.loads(made.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.ranked = self._ranked(spec)
+        self._tokenizer = made if self.ranked is None else None
+
+    @property
+    def tokenizer(self):
+        """The file's own tokenizer: where there are ranks, it is loaded when a text first needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def _ranked(self, spec: dict):
         model, before = spec["model"], spec["pre_tokenizer"] or {}
@@ -69,10 +81,14 @@ class Ids:
         return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocabulary.items()}, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.ranked is None or any(x in text for x in self.added):
+        ids = None
+        if self.ranked is not None and not any(x in text for x in self.added):
+            try:
+                ids = self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # its patterns give up on white space of hundreds of thousands of characters
+                pass
+        if ids is None:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            ids = self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.concatenate((ids, self.end))
 
 
@@ -261,14 +277,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document's ids end with ``end_id``;
     longer ones than a sequence are cut, into whole sequences after a first piece that may be shorter.
 
-    Null and empty texts are one piece of one id. Repeated rows are packed each. A null doc_id is kept. An
+    Null and empty texts are one piece of one id; very long texts are cut into as many pieces as they need.
+    Pieces of one length take their places in the order of doc_id, piece and ids. Repeated rows are packed each. A null doc_id is kept. An
     empty table gives no rows. Other columns are not read. What reaches the driver has a row for each length
     (``capacity`` at most) and for each pattern.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, capacity), out), "packing-pieces")
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end_id, capacity)), out), "packing-pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     full = counts.pop(capacity, 0)
     genes = islands(pieces, counts, capacity, n_islands, rounds, generations, size, seed) if counts else []
@@ -290,4 +307,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     before = split.groupBy("length", "shard").agg(F.count("*").alias("n")).select("length", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = split.withColumn("own", own).join(before, ["length", "shard"]).withColumn("rank", F.col("own") + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(spark.sparkContext.broadcast(table)), out + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(_placed(spark.sparkContext.broadcast(table))), out + ", sequence_id long, offset long")
