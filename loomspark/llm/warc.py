@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.lean import lean
 from loomspark.scratch import materialize
 
 #: Fixed values of the format.
@@ -92,29 +95,50 @@ class Writer:
         return out
 
 
-def frames(archive: bytes) -> Iterator[bytes]:
-    """The decoded frames of an archive."""
-    at, dictionary = 0, None
-    if archive[:4] == struct.pack("<I", DICTIONARY_MAGIC):
-        if len(archive) < 8 or len(archive) < 8 + (n := struct.unpack_from("<I", archive, 4)[0]):
-            raise WarcError("the dictionary's frame is cut short")
-        raw = archive[8 : 8 + n]
+def _taken(stream: BinaryIO, n: int, what: str) -> bytes:
+    got = stream.read(n)
+    if len(got) < n:
+        raise WarcError(f"{what} is cut short")
+    return got
+
+
+def _frame(stream: BinaryIO, magic: bytes) -> bytes:
+    """The bytes of the frame that begins with ``magic``: its header, then blocks up to the one that is marked as the last."""
+    what = "a frame"
+    out = [magic, flags := _taken(stream, 1, what)]
+    flag = flags[0]
+    single = flag >> 5 & 1
+    out.append(_taken(stream, (not single) + (0, 1, 2, 4)[flag & 3] + (single, 2, 4, 8)[flag >> 6], what))
+    last = False
+    while not last:
+        out.append(head := _taken(stream, 3, what))
+        word = int.from_bytes(head, "little")
+        last, kind, size = bool(word & 1), word >> 1 & 3, word >> 3
+        out.append(_taken(stream, 1 if kind == 1 else size, what))
+    if flag >> 2 & 1:
+        out.append(_taken(stream, 4, what))
+    return b"".join(out)
+
+
+def frames(archive: bytes | BinaryIO) -> Iterator[bytes]:
+    """The decoded frames of an archive, or of a stream of one, of which a frame at a time is held."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    magic, dictionary, at = stream.read(4), None, 0
+    if magic == struct.pack("<I", DICTIONARY_MAGIC):
+        (n,) = struct.unpack("<I", _taken(stream, 4, "the dictionary's frame"))
+        raw = _taken(stream, n, "the dictionary's frame")
         dictionary = zstandard.ZstdCompressionDict(zstandard.decompress(raw) if raw[:4] == FRAME_MAGIC else raw)
-        at = 8 + n
+        magic, at = stream.read(4), 8 + n
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
-    view = memoryview(archive)
-    while at < len(archive):
-        if archive[at : at + 4] != FRAME_MAGIC:
+    while magic:
+        if magic != FRAME_MAGIC:
             raise WarcError(f"no frame begins at byte {at}")
-        one = decoder.decompressobj()
+        frame = _frame(stream, magic)
         try:
-            data = one.decompress(view[at:])
+            yield decoder.decompressobj().decompress(frame)
         except zstandard.ZstdError as e:
             raise WarcError(f"frame at byte {at}: {e}") from e
-        if not one.eof:
-            raise WarcError(f"the frame at byte {at} is cut short")
-        at = len(archive) - len(one.unused_data)
-        yield data
+        magic, at = stream.read(4), at + len(frame)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -137,7 +161,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:-4]
 
 
-def read(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+def read(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(headers, HTTP head, payload) of each record, its digest checked."""
     for frame in frames(archive):
         headers, block = parse(frame)
@@ -178,18 +202,27 @@ def _id(urn: str) -> int | None:
     return int(found[1]) if found[1] else None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content").to_pylist():
-            rows = []
+            rows, held = [], 0
             for headers, head, payload in read(content):
+                if held > ARCHIVE_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+                held += len(payload)
                 size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
                 if not size or headers["warc-type"] == "response" and int(size[1]) != len(payload):
                     raise WarcError("the HTTP Content-Length differs from the payload")
                 to = headers.get("warc-refers-to")
                 rows.append((_id(headers["warc-record-id"]), headers.get("warc-target-uri"), int(size[1]), headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"], _id(to) if to else None, payload.decode() if headers["warc-type"] == "response" else None))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            if rows:
+                yield _batch(rows)
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -212,7 +245,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     sample = [r[0].encode()[:SAMPLE_BYTES] for r in some.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
     dictionary = pages.sparkSession.sparkContext.broadcast(train(sample))
     rows = pages.withColumn("_key", key).join(firsts, "_key", "left").withColumn("first", F.when(F.col("first") == F.col("page_id"), None).otherwise(F.col("first")))
-    return rows.select("page_id", "url", "html", "first").mapInArrow(_written(dictionary), "name string, content binary")
+    return rows.select("page_id", "url", "html", "first").mapInArrow(lean(_written(dictionary)), "name string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -220,11 +253,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     Lengths and digests are checked; a record that breaks the format raises WarcError. A revisit has no payload.
     """
-    return archives.select("content").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return archives.select("content").mapInArrow(lean(_read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
+    """Write ``pages`` to archives in the shared folder and read them back. Odd rows are as in :func:`write_archives`; very long pages are kept whole."""
     return read_archives(materialize(write_archives(pages), "warc-archives"))
 
 
