@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.lean import lean
 from loomspark.operators.components import connected_components
 from loomspark.scratch import materialize
 
@@ -181,7 +182,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> Da
         of_dim = Code(dim, sizes.get(dim, 0), seed)
         code = spark.sparkContext.broadcast(of_dim)
         mine = nodes.where(F.size("embedding") == dim).select("nid", "embedding")
-        decoded.append(mine.mapInArrow(_decoded(code, dim, base), "nid long, unit binary, own binary, filters array<long>"))
+        decoded.append(mine.mapInArrow(lean(_decoded(code, dim, base)), "nid long, unit binary, own binary, filters array<long>"))
         base += of_dim.words**PARTS
     held = materialize(reduce(DataFrame.unionByName, decoded).join(nodes.select("nid", "times"), "nid"), "caps-filters")
     sizes = held.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.expr(f"cast((count + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
@@ -190,7 +191,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> Da
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("f", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "nid", "unit", "own", "side", "times")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = materialize(
-        dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b", "nid").mapInArrow(_linked(cosine), "nid long, links long, near long"), "caps-links"
+        dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b", "nid").mapInArrow(lean(_linked(cosine)), "nid long, links long, near long"), "caps-links"
     )
     total = links.groupBy("nid").agg(F.sum("links").alias("links"))
     labels = connected_components(links.select(F.col("nid").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "nid")

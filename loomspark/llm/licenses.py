@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.lean import lean
+
 #: Usual wordings of license notices, and the words by which they are found.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -227,4 +229,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     cued = docs.select("doc_id", F.when(F.col("text").rlike("(?i)" + CUES), F.col("text")).alias("text"))
-    return cued.mapInArrow(_scanned, f"doc_id {kind}, notices array<struct<license: string, start: int, end: int, different: int>>")
+    return cued.mapInArrow(lean(_scanned), f"doc_id {kind}, notices array<struct<license: string, start: int, end: int, different: int>>")

@@ -17,10 +17,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomspark.llm.lean import lean
+
 #: Lines of a window; characters that a window needs for a surge, and in a marked element.
 WINDOW, SURGE, MARKED = 3, 120, 1
 #: Names of HTML elements, roles and usual words in class names.
-RAW = "script|style|noscript|template|iframe|svg|canvas|object|math|head|title"
+RAW = "script|style|noscript|template|iframe|svg|canvas|title"
 DROPPED = frozenset("nav header footer aside form select textarea button dialog menu fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -33,6 +35,7 @@ WORDS = frozenset(
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*>|[^<]+|<", re.S | re.I
 )
+_CLOSED = re.compile(r"</[a-zA-Z]+\s*>\Z")
 _LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -58,7 +61,10 @@ def _is_other(name: str, attributes: str) -> bool:
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, within article or main) of each line that has text."""
     tokens, open_, ends = [], {}, {}
-    for m in _TOKEN.finditer(page):
+    # Behind the last > there is no tag, so no search for the end of one runs to the end of the page.
+    cut, cut_off = page.rfind(">") + 1, False
+    for m in _TOKEN.finditer(page, 0, cut):
+        cut_off = m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] is not None and not _CLOSED.search(m[0])
         if m[3] is not None:
             name, i = m[3].lower(), len(tokens)
             if m[2]:
@@ -69,6 +75,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             tokens.append((name, m[2], m[4]))
         elif m[1] is None and (m[0][0] != "<" or m[0] == "<"):
             tokens.append((None, "", m[0]))
+    if cut < len(page) and not cut_off:
+        tokens.append((None, "", page[cut:].split("<!--", 1)[0]))
     cores = [i for i, t in enumerate(tokens) if t[0] in ("article", "main") and not t[1]]
     # The last token before which article or main lasts, if it is closed at all.
     out: list[tuple[str, int, bool]] = []
@@ -163,8 +171,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html).
 
     A null or empty html, and a page without main text, has an empty text. Markup that is not closed is read as
-    far as it goes. Repeated rows are repeated, null ids and urls kept; an empty table gives no rows. Other
+    far as it goes, and tags that HTML lets be left out may be. Very long pages are read whole, in time that grows
+    as they do. Of runs of equal length all count alike. Repeated rows are repeated, null ids and urls kept; an empty table gives no rows. Other
     columns are not read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(_extracted), f"page_id {kind}, url string, text string, n_chars long")
