@@ -14,8 +14,8 @@ from loomspark.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 8
-SHARD_WORDS = 1 << 16
-MAX_SHARDS = 4096
+#: Words of a shard; shards of a group. A source of 10^12 words has 15 million shards in 3,700 groups.
+SHARD_WORDS, GROUP_SHARDS = 1 << 16, 4096
 #: The cuts have a row for each shard of a source; up to this number they are broadcast, beyond it joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 OWN = ("_size", "_source_size", "_target", "_taken")
@@ -72,16 +72,25 @@ def targets(sizes: list[int], weights: list[int], most: int = 3) -> list[Fractio
     return out
 
 
-def _quotas(block: int, most: int):
+def _dealt(block: int, most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
+        pdf = pdf.sort_values("part")
         claims = [int(x) for x in pdf["supply"]]
-        got = sainte_lague(claims, int(pdf["seats"].iloc[0]), [-(-most * c // block) for c in claims])
-        return pd.DataFrame({"k": pdf["k"], "shard": pdf["shard"], "supply": claims, "words": [min(g * block, most * c) for g, c in zip(got, claims, strict=True)]})
+        return pd.DataFrame({"k": pdf["k"], "g": pdf["g"], "part": pdf["part"], "seats": sainte_lague(claims, int(pdf["all_seats"].iloc[0]), [-(-most * c // block) for c in claims])})
 
     return run
 
 
+def _quotas(supply: DataFrame, block: int, most: int) -> DataFrame:
+    """(k, g, shard, supply, words): blocks of a source dealt to its groups of shards, then of a group to its shards. A task has the rows of one source's groups, or of one group."""
+    kinds = "k int, g int, part int, seats long"
+    groups = supply.groupBy("k", "g").agg(F.sum("supply").alias("supply"), F.first("seats").alias("all_seats"))
+    dealt = groups.select("k", F.lit(0).alias("g"), F.col("g").alias("part"), "supply", "all_seats").groupBy("k").applyInPandas(_dealt(block, most), kinds)
+    own = supply.select("k", "g", F.col("shard").alias("part"), "supply").join(dealt.select("k", F.col("part").alias("g"), F.col("seats").alias("all_seats")), ["k", "g"])
+    seats = own.groupBy("k", "g").applyInPandas(_dealt(block, most), kinds).select("k", F.col("part").alias("shard"), "seats")
+    return supply.drop("seats").join(seats, ["k", "shard"]).select("k", "shard", "supply", F.least(F.col("seats") * block, most * F.col("supply")).alias("words"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, block_words: int = BLOCK_WORDS, most: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with _size, _source_size, _target and _taken, the words that the mix takes.
 
@@ -106,18 +115,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, b
     blocks = max(1, round(sum(sizes) / block_words)) if sum(sizes) else 0
     seats = sainte_lague([float(x) for x in aim], blocks, [-(-most * n // block_words) for n in sizes])
     plan = spark.createDataFrame(
-        [(i, s, n, float(aim[i]), seats[i], max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS)))) for i, (s, n) in enumerate(rows)],
+        [(i, s, n, float(aim[i]), seats[i], max(1, -(-n // SHARD_WORDS))) for i, (s, n) in enumerate(rows)],
         "k int, _source string, _source_size long, _target double, seats long, _shards int",
-    )
+    ).withColumn("_groups", F.expr(f"cast(ceil(_shards / {GROUP_SHARDS}) as int)"))
     plan = F.broadcast(plan) if len(rows) <= MAX_BROADCAST_ROWS else plan
     shard = F.pmod(F.xxhash64("_h"), F.col("_shards")).cast("int").alias("shard")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.join(plan, df["source"].eqNullSafe(plan["_source"])).select(*[df[c] for c in df.columns], "k", "_source_size", "_target", "seats", shard)
+        return df.join(plan, df["source"].eqNullSafe(plan["_source"])).select(*[df[c] for c in df.columns], "k", "_source_size", "_target", "seats", "_groups", shard)
 
-    parts = dealt(sized).groupBy("k", "shard", "_h", "doc_id", "_size").agg(F.count("*").alias("m"), F.first("seats").alias("seats"))
-    supply = parts.groupBy("k", "shard").agg(F.sum(F.col("_size") * F.col("m")).alias("supply"), F.first("seats").alias("seats"))
-    quota = supply.groupBy("k").applyInPandas(_quotas(block_words, most), "k int, shard int, supply long, words long").withColumns(
+    parts = dealt(sized).groupBy("k", "shard", "_h", "doc_id", "_size").agg(F.count("*").alias("m"), F.first("seats").alias("seats"), F.first("_groups").alias("_groups"))
+    supply = parts.groupBy("k", "shard").agg(F.sum(F.col("_size") * F.col("m")).alias("supply"), F.first("seats").alias("seats"), F.pmod("shard", F.first("_groups")).alias("g"))
+    quota = _quotas(supply, block_words, most).withColumns(
         {"epochs": F.expr("if(supply = 0, 0, words div supply)"), "rest": F.expr("if(supply = 0, 0, words % supply)")}
     )
     before = Window.partitionBy("k", "shard").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,11 +147,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, b
 
 
 def taken_texts(mixed: DataFrame) -> DataFrame:
-    """The mix as rows: a document once for each whole time it is taken, and its first words for a part."""
+    """The mix as rows: a document once for each whole time it is taken, and its first words for a part.
+
+    Documents without words, and those that the mix does not take, give no rows. All columns but the operator's own
+    four are kept, whatever their names.
+    """
     keep = [c for c in mixed.columns if c not in OWN]
+    row = mixed.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text", F.col("_taken").alias("taken"), F.col("_size").alias("size")).where("size > 0")
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
-    n = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    whole = mixed.where("_taken >= _size and _size > 0").withColumn("_times_taken", F.explode(F.sequence(F.lit(1), n)))
-    part = mixed.where("_size > 0 and _taken % _size > 0").withColumn("text", F.array_join(F.slice(pieces, 1, rest), ""))
-    return whole.select(*keep).unionByName(part.select(*keep))
+    first = F.array_join(F.slice(pieces, 1, F.expr("cast(taken % size as int)")), "")
+    whole = row.where("taken >= size").select("row", F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))).alias("i")).select("row.*")
+    part = row.where("taken % size > 0").select(F.struct(*[first.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in keep]).alias("row")).select("row.*")
+    return whole.unionByName(part)
