@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.llm.lean import lean
 from loomspark.llm.shingles import Hasher, set_id, texts
 from loomspark.operators.components import connected_components
 from loomspark.scratch import materialize
@@ -56,9 +57,9 @@ def _counts(width: int):
             return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["w", "n"])
 
         for batch in batches:
-            for text in texts(batch, "text"):
-                held.append(hasher.shingles(text, width))
-                size += len(held[-1])
+            for s in hasher.shingles(texts(batch, "text"), width):
+                held.append(s)
+                size += len(s)
                 if size > _CHUNK:
                     yield flush()
                     size = 0
@@ -73,7 +74,7 @@ def frequent(docs: DataFrame, width: int, limit: int = MAX_FREQUENT) -> tuple[np
 
     They only order the columns. Any order gives the same links; this one keeps blocks small.
     """
-    seen = materialize(docs.select("text").mapInArrow(_counts(width), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 4"), "frequent")
+    seen = materialize(docs.select("text").mapInArrow(lean(_counts(width)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 4"), "frequent")
     sizes = dict(seen.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect())
     least, total = 64, 0
     for k in sorted(sizes, reverse=True):
@@ -99,8 +100,7 @@ def _rows(width: int, percent: int, keys, counts):
         hasher, often, freq = Hasher(), keys.value, counts.value
         for batch in batches:
             sizes, ids, prefixes, lasts, bands = [], [], [], [], []
-            for text in texts(batch, "text"):
-                s = hasher.shingles(text, width)
+            for s in hasher.shingles(texts(batch, "text"), width):
                 sizes.append(len(s))
                 ids.append(set_id(s))
                 bands.append(band_sizes(s))
@@ -179,8 +179,7 @@ def _columns(width: int):
             return made
 
         for batch in batches:
-            for text, places in zip(texts(batch, "text"), batch.column("places").to_pylist(), strict=True):
-                s = hasher.shingles(text, width)
+            for s, places in zip(hasher.shingles(texts(batch, "text"), width), batch.column("places").to_pylist(), strict=True):
                 sid, columns = set_id(s), s.tobytes()
                 for p in places:
                     out.append((p["pivot"], p["salt"], p["is_row"], sid, columns))
@@ -271,26 +270,27 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, label: str) -> DataFrame:
     """Links among different pairs (x, y) of short ids, as pairs (a, b) of set ids."""
+    n = pairs.count()
     at = _ends(pairs).join(nodes.select("nid", "n", "bands"), "nid")
     side = lambda c, y: F.first(F.when(F.col("is_y") == y, F.col(c)), ignorenulls=True)
     both = at.groupBy("x", "y").agg(side("n", False).alias("na"), side("n", True).alias("nb"), side("bands", False).alias("ba"), side("bands", True).alias("bb"))
-    left = materialize(both.mapInArrow(_possible(percent), "x long, y long"), f"jaccard-{label}-possible")
+    left = materialize(both.mapInArrow(lean(_possible(percent)), "x long, y long"), f"jaccard-{label}-possible", n)
     # The end with more pairs is the pivot; a block has the pivot and some of the rows that it meets.
-    degree = materialize(_ends(left).groupBy("nid").agg(F.count("*").alias("deg")), f"jaccard-{label}-degrees")
+    degree = _ends(left).groupBy("nid").agg(F.count("*").alias("deg"))
     dx, dy = (degree.select(F.col("nid").alias(c), F.col("deg").alias(f"d{c}")) for c in "xy")
     led = left.join(dx, "x").join(dy, "y").select(
         F.when(F.col("dx") >= F.col("dy"), F.col("x")).otherwise(F.col("y")).alias("pivot"), F.when(F.col("dx") >= F.col("dy"), F.col("y")).otherwise(F.col("x")).alias("row"),
         F.expr(f"cast(pmod(xxhash64(if(dx >= dy, y, x)), (greatest(dx, dy) + {BLOCK - 1}) div {BLOCK}) as int)").alias("salt"),
     )
-    led = materialize(led, f"jaccard-{label}-blocks")
     places = led.select(F.col("row").alias("nid"), "pivot", "salt", F.lit(True).alias("is_row")).unionByName(led.select(F.col("pivot").alias("nid"), "pivot", "salt", F.lit(False).alias("is_row")).distinct())
     # A pivot of very many blocks is named in several rows, so no list grows with its group.
     want = places.groupBy("nid", F.expr("salt div 256").alias("piece")).agg(F.collect_list(F.struct("pivot", "salt", "is_row")).alias("places"))
-    want = materialize(want.join(nodes.select("nid", "rep"), "nid").select(F.col("rep.doc_id").alias("rid"), F.col("rep.key").alias("rkey"), "places"), f"jaccard-{label}-want")
+    want = materialize(want.join(nodes.select("nid", "rep"), "nid").select(F.col("rep.doc_id").alias("rid"), F.col("rep.key").alias("rkey"), "places"), f"jaccard-{label}-want", 4 * n)
     few = want.count() <= MAX_BROADCAST_IDS
     named = docs.join(F.broadcast(want) if few else want.hint("merge"), (F.col("key") == F.col("rkey")) & F.col("doc_id").eqNullSafe(F.col("rid"))).select("text", "places")
-    formed = named.mapInArrow(_columns(width), "pivot long, salt int, is_row boolean, sid binary, columns binary")
-    return formed.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_row").mapInArrow(_product(percent), "a binary, b binary")
+    formed = named.mapInArrow(lean(_columns(width)), "pivot long, salt int, is_row boolean, sid binary, columns binary")
+    made = formed.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_row").mapInArrow(lean(_product(percent)), "a binary, b binary")
+    return materialize(made, f"jaccard-{label}-links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -312,7 +312,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     keys, counts = frequent(docs, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(
-        docs.mapInArrow(_rows(width, percent, spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(counts)), f"doc_id {kind}, key long, n long, sid binary, bands binary, prefix array<long>, last_n long, last_w long"), "jaccard-rows"
+        docs.mapInArrow(lean(_rows(width, percent, spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(counts))), f"doc_id {kind}, key long, n long, sid binary, bands binary, prefix array<long>, last_n long, last_w long"), "jaccard-rows"
     )
     # Rows with the same set are one node; its number is 64 bits of the set's id, told apart by the id itself where it counts.
     nodes = materialize(
@@ -332,8 +332,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         .select(F.least("nid", "cid").alias("x"), F.greatest("nid", "cid").alias("y")).distinct(),
         "jaccard-stars",
     )
-    links = materialize(_links(stars, docs, nodes, width, percent, "stars"), "jaccard-links")
-    labels = connected_components(links).withColumnRenamed("node", "sid")
+    links = _links(stars, docs, nodes, width, percent, "stars")
+    n_links = links.count()
+    labels = connected_components(links, rows=n_links).withColumnRenamed("node", "sid")
 
     # Of two rows, take x, whose prefix ends first: what it shares with the other is outside its prefix or in both
     # prefixes. Let u be its columns outside its prefix and those in it that other prefixes hold. If the overlap is
@@ -354,9 +355,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     rest = materialize(rest, "jaccard-rest")
     final = labels
-    if not rest.isEmpty() and not (more := materialize(_links(rest, docs, nodes, width, percent, "rest"), "jaccard-more")).isEmpty():
+    if not rest.isEmpty() and (n_more := (more := _links(rest, docs, nodes, width, percent, "rest")).count()):
         # A star of the first components and the new links.
-        final = connected_components(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("node", "sid")
+        final = connected_components(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")).unionByName(more), rows=2 * n_links + n_more).withColumnRenamed("node", "sid")
     of_set = nodes.select("sid", "rid").join(final, "sid", "left").select("sid", "rid", F.coalesce("component", "sid").alias("component"))
     least = of_set.groupBy("component").agg(F.min("rid").alias("component_id"))
     named = of_set.join(least, "component").select("sid", "component", "component_id")

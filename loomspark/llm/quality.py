@@ -2,10 +2,11 @@
 
 The language model is an interpolated modified Kneser-Ney model of order 4 for each language. Its grams are
 of characters (UTF-16 units; capitals, digits and white space each folded), as four of them fill a 64-bit key exactly and
-their number depends on the alphabet more than on the corpus. All documents are counted: tasks count their
-own texts, Spark adds up and estimates. As every gram of a text has been counted, its probability is that of
-order 4, which holds the lower orders' shares. No gram is dropped: sorted arrays of hashed keys are broadcast
-in as many parts as the number of grams asks for, and a text's sums over the parts are added up.
+their number depends on the alphabet more than on the corpus. All texts are counted, copies once: tasks count
+their own, Spark adds up and estimates. A text is scored by what the others have: its own counts of grams and
+contexts are taken off first, so a gram that no other text has gets what its context leaves to the lower orders.
+No gram is dropped: sorted arrays of hashed keys are broadcast in as many parts as the number of grams asks
+for, and a text's sums over the parts are added up.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.llm.lean import lean
 from loomspark.llm.shingles import Hasher
 from loomspark.scratch import materialize
 
 ORDER = 4
-#: Grams of a part of the model, at 12 bytes: what is broadcast at once. More grams make more parts.
-PART_GRAMS = 6_000_000
+#: Grams of a part of the model, at 24 bytes: what is broadcast at once. More grams make more parts.
+PART_GRAMS = 4_000_000
 #: Width of a language's band, in quartile ranges beyond the quartiles.
 BAND = 3.0
+MAX_BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 2_000_000
 _START, _END = "\x02\x02\x02", "\x03"
@@ -85,9 +88,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Rows with a text, one for each text of a language; only ids and hashes are shuffled."""
+    h = F.xxhash64("lang", "text")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    first = docs.where(F.length("text") > 0).groupBy(h.alias("_h")).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
+    again = materialize(first.where("_n > 1"), "quality-again")
+    few = again.count() <= MAX_BROADCAST_ROWS
+    rows = docs.where(F.length("text") > 0).withColumn("_h", h)
+    rows = rows.join(F.broadcast(again) if few else again.hint("merge"), "_h", "left")
+    # Of copies, those with the first one's id; they may be rows repeated whole, of which the map stage keeps one.
+    copies = rows.where(row == F.col("_first")).groupBy("_h").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    return rows.where(F.col("_n").isNull()).select("lang", "text").unionByName(copies.select("lang", "text"))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, k, g, c): for order 4 the counts, below it the numbers of different grams that end in g."""
-    most = materialize(docs.select("lang", "text").mapInArrow(_counts, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("c")), "quality-grams")
+    most = materialize(_once(docs).mapInArrow(lean(_counts), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("c")), "quality-grams")
     out = last = most.select("lang", F.lit(ORDER).alias("k"), "g", "c")
     for k in range(ORDER - 1, 0, -1):
         last = last.groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("g")).agg(F.count("*").alias("c")).select("lang", F.lit(k).alias("k"), "g", "c")
@@ -103,55 +120,47 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-class Model:
-    """The plain version of :func:`estimate`, for one language's grams: log probabilities in arrays sorted by hashed key, and the weights of contexts for backing off."""
-
-    def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray]], spread: dict[int, np.ndarray]) -> None:
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.floor = 1.0 / (len(orders[1][0]) + 1)
-        lower = None
-        for k in range(1, ORDER + 1):
-            g, c = orders[k]
-            d = discounts(*spread[k])[np.minimum(c, 3)]
-            ctx = g >> np.uint64(16)
-            keys, at = np.unique(ctx, return_inverse=True)
-            total = np.bincount(at, c, len(keys))
-            weight = np.bincount(at, d, len(keys)) / total
-            below = np.full(len(g), self.floor) if lower is None else np.exp(self._look(k - 1, g & np.uint64((1 << (16 * (k - 1))) - 1)))
-            p = (c - d) / total[at] + weight[at] * below
-            self.grams[k] = self._sorted(g, np.log(p))
-            self.contexts[k] = self._sorted(keys, np.log(np.maximum(weight, 1e-12)))
-            lower = p
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Table:
+    """Grams of order 4 in an array sorted by hashed key: counts, their contexts' counts and back-off weights, and the probability below."""
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray, total: np.ndarray, weight: np.ndarray, below: np.ndarray, cuts: np.ndarray) -> None:
         h = keys * _MIX  # an odd factor: no two keys meet
         order = np.argsort(h)
-        return h[order], values[order].astype(np.float32)
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = keys * _MIX
-        if not len(table[0]):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-        return table[0][at] == h, table[1][at]
-
-    def _look(self, k: int, grams: np.ndarray) -> np.ndarray:
-        if k == 0:
-            return np.full(len(grams), np.log(self.floor))
-        known, out = self._find(self.grams[k], grams)
-        out = out.astype(np.float64)
-        if not known.all():
-            rest = grams[~known]
-            seen, weight = self._find(self.contexts[k], rest >> np.uint64(16))
-            out[~known] = np.where(seen, weight, 0.0) + self._look(k - 1, rest & np.uint64((1 << (16 * (k - 1))) - 1))
-        return out
-
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Nats a unit of each text."""
-        return -_sums(texts, lambda grams: self._look(ORDER, grams)) / _lengths(texts)
+        self.h, self.c, self.total = h[order], c[order].astype(np.int32), total[order].astype(np.int64)
+        self.weight, self.below, self.cuts = weight[order].astype(np.float32), below[order].astype(np.float32), cuts
+
+    def log(self, g: np.ndarray, own: np.ndarray, own_context: np.ndarray) -> np.ndarray:
+        """Log probabilities without the text's own counts; 0 for grams that the table lacks."""
+        if not len(self.h):
+            return np.zeros(len(g))
+        h = g * _MIX
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        known = self.h[at] == h
+        left, total = np.maximum(self.c[at] - own, 0), np.maximum(self.total[at] - own_context, 0)
+        held = np.maximum(left - self.cuts[np.minimum(left, 3)], 0) / np.maximum(total, 1)
+        p = held + np.where(total > 0, self.weight[at], 1.0) * self.below[at]
+        return np.where(known, np.log(np.maximum(p, 1e-30)), 0.0)
+
+
+def plain_table(texts: list[str]) -> Table:
+    """The plain version of :func:`estimate`, for the different texts of one language."""
+    units = _units(texts)
+    keys, c = np.unique(_grams(units)[units[3:] != 2], return_counts=True)
+    orders, low = {ORDER: (keys, c)}, keys
+    for k in range(ORDER - 1, 0, -1):
+        low, n = np.unique(low & np.uint64((1 << (16 * k)) - 1), return_counts=True)
+        orders[k] = (low, n)
+    p = np.full(len(orders[1][0]), 1.0 / (len(orders[1][0]) + 1))
+    for k in range(1, ORDER + 1):
+        g, c = orders[k]
+        cuts = discounts(*[int((c == i).sum()) for i in range(1, 5)])
+        d = cuts[np.minimum(c, 3)]
+        contexts, at = np.unique(g >> np.uint64(16), return_inverse=True)
+        total = np.bincount(at, c)
+        weight = np.bincount(at, d) / total
+        below = p if k == 1 else p[np.searchsorted(orders[k - 1][0], g & np.uint64((1 << (16 * (k - 1))) - 1))]
+        p = (c - d) / total[at] + weight[at] * below
+    return Table(g, c, total[at], weight[at], below, cuts)
 
 
 def _lengths(texts: list[str]) -> np.ndarray:
@@ -159,17 +168,24 @@ def _lengths(texts: list[str]) -> np.ndarray:
     return np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 + 1 for t in texts])
 
 
-def _sums(texts: list[str], look) -> np.ndarray:
-    """The sum of ``look``'s values over the grams of each text."""
+def _sums(texts: list[str], table: Table) -> np.ndarray:
+    """The sum of the log probabilities that the table has, over the grams of each text."""
     units = _units(texts)
-    logs = look(_grams(units)).astype(np.float64)
-    logs[units[3:] == 2] = 0
+    grams, real = _grams(units), units[3:] != 2
     ends = np.cumsum(_lengths(texts) + 3)
-    return np.add.reduceat(logs, np.r_[0, ends[:-1]])
+    begins = np.r_[0, ends[:-1]]
+    out = np.zeros(len(texts))
+    for i, (a, z) in enumerate(zip(begins, np.minimum(ends, len(grams)), strict=True)):
+        g, n = np.unique(grams[a:z][real[a:z]], return_counts=True)
+        context = g >> np.uint64(16)  # as sorted as g
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        own = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(g)))
+        out[i] = (table.log(g, n, own) * n).sum()
+    return out
 
 
-def estimate(docs: DataFrame) -> DataFrame:
-    """(lang, g, logp): log probabilities of all grams of order 4, each language by itself."""
+def estimate(docs: DataFrame) -> tuple[DataFrame, dict[str | None, np.ndarray]]:
+    """(lang, g, c, total, weight, below) of all grams of order 4, each language by itself, and the languages' discounts of that order."""
     orders = count_grams(docs)
     spread = orders.groupBy("lang", "k").agg(F.count("*").alias("n"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)]).collect()
     rows = [(r["lang"], r["k"], r["n"], *discounts(*[r[f"n{i}"] for i in range(1, 5)])[1:].tolist()) for r in spread]
@@ -182,18 +198,19 @@ def estimate(docs: DataFrame) -> DataFrame:
         w = Window.partitionBy("lang", "ctx")
         kinds = [F.count_if(F.col("c") == 1).over(w), F.count_if(F.col("c") == 2).over(w), F.count_if(F.col("c") > 2).over(w)]
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        at = at.select("lang", "g", "n", (F.col("c") - cut).alias("left"), F.sum("c").over(w).alias("total"), (kinds[0] * F.col("d1") + kinds[1] * F.col("d2") + kinds[2] * F.col("d3")).alias("lost"))
+        at = at.select("lang", "g", "n", "c", (F.col("c") - cut).alias("left"), F.sum("c").over(w).alias("total"), (kinds[0] * F.col("d1") + kinds[1] * F.col("d2") + kinds[2] * F.col("d3")).alias("lost"))
         if lower is None:
             below = 1 / (F.col("n") + 1)
         else:
             at = at.join(lower, at["lang"].eqNullSafe(lower["_lang"]) & (at["g"].bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)) == lower["_g"]))
             below = F.col("_p")
+        if k == ORDER:
+            few = F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")
+            last = at.select("lang", "g", few, "total", (F.col("lost") / F.col("total")).cast("float").alias("weight"), below.cast("float").alias("below"))
+            return materialize(last, "quality-model"), {lang: np.array([0.0, *d]) for lang, at, _, *d in rows if at == ORDER}
         p = F.col("left") / F.col("total") + F.col("lost") / F.col("total") * below
         lower = at.select(F.col("lang").alias("_lang"), F.col("g").alias("_g"), p.alias("_p"))
-    return materialize(lower.select(F.col("_lang").alias("lang"), F.col("_g").alias("g"), F.log("_p").cast("float").alias("logp")), "quality-model")
-
-
-Table = dict[str | None, tuple[np.ndarray, np.ndarray]]
+    raise AssertionError("no order")
 
 
 def parts(model: DataFrame, part_grams: int) -> list[tuple[list[str | None], int, int]]:
@@ -218,37 +235,38 @@ def _of(langs: list[str | None]) -> Column:
     return named | F.col("lang").isNull() if None in langs else named
 
 
-def load(model: DataFrame, langs: list[str | None], piece: int, pieces: int) -> Table:
-    """A part of the model in arrays sorted by hashed key."""
-    got = model.where(_of(langs) & (F.pmod(F.xxhash64("g"), F.lit(pieces)) == piece)).toArrow().combine_chunks()
-    lang, g, logp = got["lang"], got["g"].to_numpy().view(np.uint64), got["logp"].to_numpy()
+Tables = dict[str | None, Table]
+
+
+def load(model: DataFrame, cuts: dict[str | None, np.ndarray], langs: list[str | None], piece: int, pieces: int) -> Tables:
+    """A part of the model: 28 bytes a gram reach the driver, and the language where the part has several."""
+    rows = model.where(_of(langs) & (F.pmod(F.xxhash64("g"), F.lit(pieces)) == piece))
+    got = (rows.drop("lang") if len(langs) == 1 else rows).toArrow().combine_chunks()
+    columns = [got[x].to_numpy() for x in ("g", "c", "total", "weight", "below")]
     out = {}
     for name in langs:
-        at = np.flatnonzero((pc.is_null(lang) if name is None else pc.fill_null(pc.equal(lang, name), False)).to_numpy())
-        out[name] = Model._sorted(g[at], logp[at])
+        at = slice(None)
+        if len(langs) > 1:
+            at = np.flatnonzero((pc.is_null(got["lang"]) if name is None else pc.fill_null(pc.equal(got["lang"], name), False)).to_numpy())
+        g, c, total, weight, below = (x[at] for x in columns)
+        out[name] = Table(g.view(np.uint64), c, total, weight, below, cuts[name])
     return out
 
 
-def _log_sums(table: Table, lang: str | None, texts: list[str]) -> np.ndarray:
+def _log_sums(tables: Tables, lang: str | None, texts: list[str]) -> np.ndarray:
     """Sums of the log probabilities that this part has."""
-
-    def look(grams: np.ndarray) -> np.ndarray:
-        known, logs = Model._find(table[lang], grams)
-        return np.where(known, logs, 0)
-
-    return _sums(texts, look) if lang in table else np.zeros(len(texts))
+    return _sums(texts, tables[lang]) if lang in tables else np.zeros(len(texts))
 
 
-def base_counts(text: bytes, hasher: Hasher) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    w = hasher.words(text, lower=False)
+def base_counts(text: bytes, w: np.ndarray) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text with words of these hashes."""
     inner = text.translate(None, b" \t\n\r\x0b\x0c")
     chars = int((np.frombuffer(inner, np.uint8) & 0xC0 != 0x80).sum())
     symbols = len(inner) - len(inner.translate(None, b"#*$%&|<>"))
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeats = 0
     if len(w) > 3:
-        h = hasher.ngrams(w, 3)
+        h = Hasher.ngrams(w, 3)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         if same.any():
@@ -270,7 +288,7 @@ def _scored(part):
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
                 raw = [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
-                counts = [base_counts(x, hasher) for x in raw]
+                counts = [base_counts(x, w) for x, w in zip(raw, hasher.each(raw, lower=False), strict=True)]
                 texts, entropy = [x.decode() for x in raw], np.full(len(raw), np.nan)
                 by: dict[str | None, list[int]] = {}
                 for i, lang in enumerate(rows.column("lang").to_pylist()):
@@ -310,20 +328,20 @@ def score(docs: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
     """(doc_id, lang, counts, entropy) of each row; texts are read once for each part that their language has."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    model = estimate(docs)
+    model, cuts = estimate(docs)
     # Equal texts of a language have equal sums, so they are told apart by nothing else: 128 bits over both.
     key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), F.lit("\0"), "text").cast("binary")))
     every = parts(model, part_grams) or [([], 0, 1)]
-    part = spark.sparkContext.broadcast(load(model, *every[0]))
+    part = spark.sparkContext.broadcast(load(model, cuts, *every[0]))
     keyed = docs.withColumn("key", key if len(every) > 1 else F.lit(None).cast("binary"))
-    out = keyed.mapInArrow(_scored(part), f"doc_id {kind}, lang string, key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, entropy double")
+    out = keyed.mapInArrow(lean(_scored(part)), f"doc_id {kind}, lang string, key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, entropy double")
     if len(every) == 1:
         return out.drop("key")
     sums = []
     for at in every[1:]:
-        part = spark.sparkContext.broadcast(load(model, *at))
+        part = spark.sparkContext.broadcast(load(model, cuts, *at))
         rows = keyed.where(_of(at[0]) & (F.length("text") > 0)).select("key", "lang", "text")
-        sums.append(materialize(rows.mapInArrow(_more(part), "key binary, more double").groupBy("key").agg(F.max("more").alias("more")), "quality-more"))
+        sums.append(materialize(rows.mapInArrow(lean(_more(part)), "key binary, more double").groupBy("key").agg(F.max("more").alias("more")), "quality-more"))
         part.unpersist()
     added = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("more").alias("more"))
     return out.join(added, "key", "left").withColumn("entropy", F.col("entropy") + F.coalesce("more", F.lit(0.0))).drop("key", "more")
@@ -337,7 +355,7 @@ def rate(docs: DataFrame, band: float = BAND, min_words: int = 50, max_repeat: i
     ``band`` quartile ranges of the log perplexity below and above the quartiles of the language's documents
     that pass the base rules.
 
-    A null or empty text has counts of 0, no perplexity, and fails the base rules. A null lang is a language of
+    A null or empty text has counts of 0, no perplexity, and fails the base rules; very long texts are scored whole. A null lang is a language of
     its own. A language without documents that pass has no bounds; nor has it documents to reject. Repeated
     rows are repeated; an empty table gives no rows. Other columns are not read.
     """

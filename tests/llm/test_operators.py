@@ -50,6 +50,14 @@ def test_jaccard_equals_all_pairs(spark, rows, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_one_of_rows_that_share_ids(spark, empty):
+    a, b = prose(random.Random(8), 40), prose(random.Random(9), 40)
+    rows = [(1, a, None, None), (5, a + " more", None, None), (5, b, None, None), (7, b, None, None), (5, b, None, None), (None, a, None, None), (None, None, None, None), (9, "", None, None), (9, prose(random.Random(10), 40), None, None), (None, prose(random.Random(11), 30), None, None)]
+    kept = jaccard.one_of_each(documents(spark, rows).withColumn("_jaccard_id", F.lit("x")).withColumn("row", F.lit("y")))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("1", a), ("5", b), ("None", rows[-1][1]), ("9", rows[-2][1]), ("None", "None"), ("9", "")])
+    assert kept.columns == [*empty.columns, "_jaccard_id", "row"] and jaccard.one_of_each(empty).count() == 0
+
+
 def test_jaccard_chain_and_hot_passage(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(200)]
@@ -84,6 +92,19 @@ def test_mix_meets_its_targets(spark, rows, empty):
     again = mixing.taken_texts(mixing.mix(docs))
     assert sum(len(re.findall(mixing.WORD, r["text"])) for r in again.collect()) == sum(taken.values())
     assert mixing.mix(empty).count() == 0
+    few = mixing.taken_texts(mixing.mix(docs.withColumn("_times_taken", F.lit(1)).withColumn("a.b", F.lit("x"))))
+    assert few.columns == [*docs.columns, "_times_taken", "a.b"] and few.count() == again.count()
+
+
+def test_mix_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 40)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    rng = random.Random(15)
+    docs = documents(spark, [(i, prose(rng, rng.randint(1, 60)), None, rng.choice("aab")) for i in range(200)])
+    got = mixing.mix(docs).collect()
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["_taken"] for r in mine) - mine[0]["_target"]) <= 3 * mixing.BLOCK_WORDS and all(r["_taken"] <= 3 * r["_size"] for r in mine)
 
 
 def test_quality_counts_and_bands(spark, rows, empty):
@@ -106,14 +127,8 @@ def test_quality_keeps_every_gram(spark, rows):
             texts.setdefault(r["lang"], []).append(r["text"])
     plain = {}
     for lang, mine in texts.items():
-        units = quality._units(mine)
-        keys, n = np.unique(quality._grams(units)[units[3:] != 2], return_counts=True)
-        orders, c = {4: (keys, n)}, keys
-        for k in (3, 2, 1):
-            c, m = np.unique(c & np.uint64((1 << (16 * k)) - 1), return_counts=True)
-            orders[k] = (c, m)
-        model = quality.Model(orders, {k: [int((v[1] == i).sum()) for i in range(1, 5)] for k, v in orders.items()})
-        plain |= {(lang, t): math.exp(e) for t, e in zip(mine, model.entropies(mine), strict=True)}
+        table = quality.plain_table(sorted(set(mine)))
+        plain |= {(lang, t): math.exp(e) for t, e in zip(mine, -quality._sums(mine, table) / quality._lengths(mine), strict=True)}
     text_of = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect() if r["doc_id"] is not None}
     whole = {str(r["doc_id"]) + str(r["n_words"]): r for r in quality.rate(docs).collect()}
     # The same verdicts and perplexities however many parts the model has.
@@ -123,7 +138,7 @@ def test_quality_keeps_every_gram(spark, rows):
         assert r["perplexity"] is None or r["perplexity"] == pytest.approx(same["perplexity"], rel=1e-9)
         if r["doc_id"] is not None and text_of[r["doc_id"]][1]:
             assert r["perplexity"] == pytest.approx(plain[text_of[r["doc_id"]]], rel=1e-5)
-    assert len(quality.parts(quality.estimate(docs), 300)) > 3
+    assert len(quality.parts(quality.estimate(docs)[0], 300)) > 3
 
 
 def test_language_of_held_out_rows(spark, empty):
@@ -193,10 +208,22 @@ def test_contexts_find_unseen_identifiers(spark):
     docs += [(50, "telefon: 0374-555-3953 und mehr", None, None), (51, "the year 2024 and 12345678 alone", None, None), (None, "telefon: 0374-555-3953 und mehr", None, None)]
     got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, docs)).collect()}
     assert got[50] == got[None] == "phone:9:22" and got[51] == ""
+    keys = [f'{prose(rng, 5)} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(rng, 5)}' for i in range(8)] + ['x token = "abc12345" y', f"{hashlib.sha1(b'z').hexdigest()} alone"]
+    spans = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in pii.report(documents(spark, [(100 + i, t, None, None) for i, t in enumerate(keys)])).collect()}
+    assert all(spans[100 + i] == (f"secret:{(a := t.index(chr(34)) + 1)}:{a + 40}", 1) for i, t in enumerate(keys[:8]))
+    assert spans[108] == ("secret:11:19", 1) and spans[109] == ("", 0)
     masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.masked(documents(spark, docs)).collect()}
     assert masked[50] == ("telefon: [PHONE] und mehr", 25) and len(masked) == len(docs)
 
 
+def test_very_many_matches_in_a_text(spark):
+    text = " ".join(f"a{i}@b.cd {4000 + i}" for i in range(20_000))
+    (row,) = pii.report(documents(spark, [(1, text, None, None)])).collect()
+    masked = pii.masked(documents(spark, [(1, text, None, None)])).first()
+    assert masked["text"] == re.sub(r"a\d+@b\.cd", "[EMAIL]", text) and masked["n_chars"] == len(masked["text"])
+    assert row["n_email"] == 20_000 and row["base_sha256"] == hashlib.sha256(",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a\d+@b\.cd", text)).encode()).hexdigest()
+
+
 def test_overlapping_spans_are_masked_once(spark):
     df = spark.createDataFrame([("ab 1.2.3.4 cd",)], "text string")
     span = "struct<start: int, rank: int, end: int, kind: string, value: string>"

@@ -1,12 +1,13 @@
 """The operators' cores without Spark, against plain versions."""
 
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 
-from loomspark.llm import capdedup, langid, licenses, linehtml, mixing, packing, quality, shingles, warc
+from loomspark.llm import capdedup, jaccard, langid, licenses, linehtml, mixing, packing, quality, shingles, warc
 
 
 def test_sainte_lague_gives_highest_quotients():
@@ -35,8 +36,8 @@ def test_targets_are_reshared_until_none_is_above():
 def test_automaton_finds_longest_matches():
     rng = random.Random(2)
     for _ in range(50):
-        train = "".join(rng.choice("abc") for _ in range(30))
-        text = "".join(rng.choice("abcd") for _ in range(40))
+        train = bytes(rng.choice(b"abc") for _ in range(30))
+        text = bytes(rng.choice(b"abcd") for _ in range(40))
         n = i = 0
         while i < len(text):
             k = 0
@@ -47,16 +48,28 @@ def test_automaton_finds_longest_matches():
         assert langid.phrases(text, langid.suffix_automaton(train)) == n
 
 
+def test_texts_walk_abreast_as_each_alone():
+    rng = random.Random(12)
+    trains = [bytes(rng.choice(letters) for _ in range(400)) for letters in (b"abcd", b"cdef \xc3\xa9")]
+    moves = [langid.suffix_automaton(t) for t in trains]
+    texts = [bytes(rng.choice(b"abcdefg \xc3\xa9") for _ in range(rng.choice([0, 1, 5, 300, 1024, 1025, 5000]))) for _ in range(60)]
+    got = langid.phrase_counts(texts, [langid.table(m) for m in moves])
+    for text, row in zip(texts, got):
+        assert list(row) == [sum(langid.phrases(text[i : i + langid.STRETCH], m) for i in range(0, len(text), langid.STRETCH)) for m in moves]
+
+
 def test_language_of_odd_texts():
-    model = langid.build((("a", "the cat sat on the mat"), ("b", "der hund lief im wald")))
-    assert langid.classify(None, model) == langid.classify("", model) == langid.classify("12 !?", model) == ("und", 0.0)
-    assert langid.classify("the mat", model)[0] == "a" and langid.classify("IM WALD", model)[0] == "b"
-    assert langid.classify("x", [])[0] == langid.classify("² 3", model)[0] == "und"
+    model = (("a", "the cat sat on the mat"), ("b", "der hund lief im wald"))
+    assert langid.classify([None, "", "12 !?", "\u00b2 3"], model) == [("und", 0.0)] * 4
+    assert [x for x, _ in langid.classify(["the mat", "IM WALD", "the cat " * 100_000], model)] == ["a", "b", "a"]
+    assert langid.classify(["x"], ()) == [("und", 0.0)] and langid.classify(["x"], model[:1]) == [("a", 1.0)] and langid.classify([], model) == []
+    assert langid.classify(["the"], (("a", "the"), ("b", "the"))) == [("a", 0.0)]
 
 
 def test_repeat_words_and_symbols_against_plain_counts():
     rng = random.Random(3)
     hasher = shingles.Hasher()
+    texts = []
     for _ in range(200):
         text = "".join(rng.choice(["a", "b", " ", "\n", "é#", " ", "*"]) for _ in range(rng.randint(0, 60)))
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -67,24 +80,76 @@ def test_repeat_words_and_symbols_against_plain_counts():
             if re.search(r"[^\x20\x09-\x0D]", line):
                 dup += line in lines
                 lines.append(line)
-        assert quality.base_counts(text.encode(), hasher) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover))
+        texts.append(text.encode())
+        assert quality.base_counts(text.encode(), hasher.words(text.encode())) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover))
+
+
+def test_word_hashes_of_many_texts():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(["a", "B", " ", "\n\t", "\u00e9", "\x1f", "\u00a0"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(300)] + [b"x" * 100_000 + b" y"]
+    name, hashes = {}, {}
+    for text, mine in zip(texts, shingles.Hasher().each(texts)):
+        words = text.lower().split()
+        assert len(words) == len(mine)
+        for w, h in zip(words, mine.tolist()):
+            assert name.setdefault(h, w) == w and hashes.setdefault(w, h) == h
+    alone = shingles.Hasher()
+    for text, both in zip(texts, shingles.Hasher().shingles(texts, 2)):
+        w = text.lower().split()
+        assert len(both) == len({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()) and list(both) == list(next(alone.shingles([text], 2)))
 
 
 def test_kneser_ney_probabilities_sum_to_one():
-    texts = ["abcabd", "abcaab", "bbca"]
-    units = quality._units(texts)
-    keys, n = np.unique(quality._grams(units)[units[3:] != 2], return_counts=True)
-    orders, c = {4: (keys, n)}, keys
-    for k in (3, 2, 1):
-        c, m = np.unique(c & np.uint64((1 << (16 * k)) - 1), return_counts=True)
-        orders[k] = (c, m)
-    model = quality.Model(orders, {k: [int((v[1] == i).sum()) for i in range(1, 5)] for k, v in orders.items()})
-    vocabulary = orders[1][0]
-    for context in ("ab", "bc", "zz"):
-        u = quality._folds()[np.array([ord("a"), *map(ord, context)], np.uint16)].astype(np.uint64)
-        grams = (u[0] << np.uint64(48)) | (u[1] << np.uint64(32)) | (u[2] << np.uint64(16)) | vocabulary
-        assert np.exp(model._look(4, grams)).sum() <= 1.0001
-    assert np.isfinite(model.entropies(["abc", "zzz \U0001f389"])).all()
+    table = quality.plain_table(["abcabd", "abcaab", "bbca"])
+    contexts = {}
+    for h, c, total, weight, below in zip(table.h, table.c, table.total, table.weight, table.below):
+        g = int(h) * pow(int(quality._MIX), -1, 1 << 64) % (1 << 64)
+        contexts.setdefault(g >> 16, []).append((int(c), int(total), float(weight)))
+        assert 0 < below < 1 and c <= total
+    for rows in contexts.values():
+        held = sum(c - table.cuts[min(c, 3)] for c, *_ in rows)
+        assert held + rows[0][1] * rows[0][2] == pytest.approx(rows[0][1], rel=1e-5)
+
+
+def test_a_text_is_scored_by_the_others():
+    texts = ["abcabd abcabd", "abcaab", "bbca", "zzzz zzzz zzzz"]
+    table = quality.plain_table(texts)
+    for own in texts:
+        # Counts of grams and contexts of the other texts alone, with this model's discounts, weights and lower orders.
+        want = 0.0
+        def grams(t):
+            u = quality._units([t])
+            return [int(x) for x in quality._grams(u)[u[3:] != 2]]
+
+        others = [g for t in texts if t != own for g in grams(t)]
+        for g in grams(own):
+            at = int(np.flatnonzero(table.h == np.uint64(g) * quality._MIX)[0])
+            c, total = others.count(g), sum(x >> 16 == g >> 16 for x in others)
+            want += math.log((c - table.cuts[min(c, 3)]) / total + table.weight[at] * table.below[at] if total else table.below[at])
+        assert quality._sums([own, "abc"], table)[0] == pytest.approx(want, rel=1e-5)
+    assert quality._sums(["zzzz zzzz zzzz"], table)[0] < quality._sums(["abcabd abcabd"], table)[0]
+
+
+def bands_of(rng, n):
+    return np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+
+
+def test_bands_bound_the_overlap_and_blocks_count_it():
+    rng = random.Random(14)
+    for n in (1, 3, 20, 300, 3000):
+        pivot = bands_of(rng, n)
+        rows = []
+        for share in (0, 0.3, 0.6, 0.8, 0.9, 0.97, 1):
+            rows.append(np.unique(np.concatenate([pivot[rng.randrange(2) :: 1][: int(share * n)], bands_of(rng, rng.randint(0, 1 + n // 5))])))
+        rows = [r for r in rows if len(r)]
+        true = [len(np.intersect1d(pivot, r)) for r in rows]
+        most = jaccard.most_common([jaccard.band_sizes(pivot)] * len(rows), [jaccard.band_sizes(r) for r in rows])
+        assert all(m >= t for m, t in zip(most, true))
+        for percent in (50, 80, 90, 100):
+            good = jaccard.overlaps(pivot, rows, percent)
+            assert list(good) == [100 * t >= percent * (len(pivot) + len(r) - t) for t, r in zip(true, rows)]
+    crowded = np.arange(1000, dtype=np.uint64)
+    assert jaccard.most_common([jaccard.band_sizes(crowded)], [jaccard.band_sizes(crowded)])[0] == -1
 
 
 def test_packing_keeps_every_document_once_and_is_tight():
@@ -239,3 +304,41 @@ def test_caps_hold_the_nearest_directions():
     for x, found in zip(v, code.filters(v)):
         every = np.array([sum(x[a:b] @ book[w] for a, b, book, w in zip(code.cuts, code.cuts[1:], code.books, (i // k**3, i // k**2 % k, i // k % k, i % k))) for i in range(k**4)])
         assert found.tolist() == sorted(np.argsort(-every)[: code.most].tolist())
+
+
+def test_blanks_beyond_the_patterns_go_to_the_tokenizer():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    ids = packing.shared_ids(path, 2)
+    text = "a" + " " * 2_000_000 + "b"
+    assert list(ids.encode(text)) == [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_archives_are_read_frame_by_frame():
+    import io
+    import time
+
+    writer = warc.Writer(warc.train([b"<html><p>page</p></html>" * 9] * 50), limit=1 << 40)
+    payload = bytes(range(256)) * 4
+    for i in range(4000):
+        writer.add(warc.page_record(i, "u", payload + str(i).encode(), warc.digest(payload + str(i).encode()), None))
+    writer.add(warc.page_record(4000, "u", b"x" * 3_000_000, warc.digest(b"x" * 3_000_000), None))
+    archive, began = writer.close(), time.time()
+    assert [p[len(payload) :] for *_, p in warc.read(archive)][:4000] == [str(i).encode() for i in range(4000)] and time.time() - began < 5
+    assert sum(1 for _ in warc.read(io.BytesIO(archive))) == 4001
+    for cut in (3, 9, len(archive) // 2, len(archive) - 1):
+        with pytest.raises(warc.WarcError):
+            list(warc.read(archive[:cut]))
+
+
+def test_pages_without_head_end_and_broken_tags():
+    import time
+
+    body = "<article><p>" + "Some sentence of the article that goes on for long enough. " * 6 + "</p></article>"
+    closed = linehtml.extract(f"<html><head><title>t</title><meta x></head><body>{body}</body></html>")
+    assert closed and closed == linehtml.extract(f"<html><head><title>t</title><meta x><body>{body}")
+    assert "x + y" in linehtml.extract(body.replace("</p>", " <math>x + y</math></p>"))
+    for page in ('<a "' * 40_000, '<a "' * 40_000 + ">", "<!--" * 40_000, "<script " * 40_000):
+        began = time.time()
+        linehtml.extract(page)
+        assert time.time() - began < 3
+    assert linehtml.extract("<p>a <!-- > b") == "a" and linehtml.extract("<p>a</p><script>x > y") == "a" and linehtml.extract("a < b") == "a < b"
