@@ -40,6 +40,13 @@ def split_units(rows: DataFrame, project: str, cluster: str, salt: str) -> DataF
     return units.select("*", stratum(F.col("n")).alias("stratum"), split_of(F.concat_ws(":", "unit_type", "unit_key"), salt).alias("split"))
 
 
+def split_of_rows(rows: DataFrame, units: DataFrame, project: str, cluster: str) -> DataFrame:
+    """``rows`` with the split of their unit: their project, or else their cluster; null where the unit has none."""
+    kind = F.when(F.col(project).isNotNull(), "project").otherwise("cluster")
+    keyed = rows.withColumns({"unit_type": kind, "unit_key": F.coalesce(F.col(project), F.col(cluster).cast("string"))})
+    return keyed.join(units.select("unit_type", "unit_key", "split"), ["unit_type", "unit_key"], "left")
+
+
 def leaking(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups in more than one split."""
     return rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(split).alias("n_splits"), F.count_if(F.col(split).isNull()).alias("n_unassigned")).where("n_splits > 1 or n_unassigned > 0")

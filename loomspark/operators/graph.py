@@ -52,6 +52,35 @@ def traverse(edges_: DataFrame, starts: DataFrame, depth: int = 2, along: tuple[
     return out.select("start", "node", "depth", "nodes", "types")
 
 
+def unit_paths(edges_: DataFrame, part_of: str = "PART_OF", has_unit: str = "HAS_UNIT_TYPE") -> DataFrame:
+    """(project, building, unit, depth) by the edges' types: units of a project's buildings, two edges away, and its own, one away, without a building."""
+    units = edges_.where(F.col("edge_type") == has_unit)
+    built = edges_.where(F.col("edge_type") == part_of).select(F.col("dst").alias("project"), F.col("src").alias("building"))
+    far = built.join(units.select(F.col("src").alias("building"), F.col("dst").alias("unit")), "building").select("project", "building", "unit", F.lit(2).alias("depth"))
+    projects = built.select("project").distinct()
+    near = units.select(F.col("src").alias("project"), F.col("dst").alias("unit")).join(projects, "project", "left_semi")
+    return far.unionByName(near.select("project", F.lit(None).cast(dict(edges_.dtypes)["src"]).alias("building"), "unit", F.lit(1).alias("depth")))
+
+
+def in_order(paths: DataFrame, limit: int) -> DataFrame:
+    """The first paths by depth, then the types of their edges, then their nodes."""
+    return paths.orderBy("depth", "types", "nodes").limit(limit)
+
+
+def listed(nodes_: DataFrame, edges_: DataFrame, entity_type: str | None = None, search: str | None = None, with_building: bool = False, top: int = 50, part_of: str = "PART_OF") -> DataFrame:
+    """The ``top`` nodes (node_id, entity_type, canonical_key, name, support) by support, then key, that meet the conditions that are given.
+
+    ``search`` is a pattern in lower case in which % and _ stand for any characters, as users type it.
+    """
+    if entity_type is not None:
+        nodes_ = nodes_.where(F.col("entity_type") == entity_type)
+    if search:
+        nodes_ = nodes_.where(F.lower("name").like(f"%{search.lower()}%"))
+    if with_building:
+        nodes_ = with_neighbour(nodes_, edges_, part_of)
+    return nodes_.orderBy(F.desc("support"), "canonical_key").limit(top)
+
+
 def path_label(nodes_, types):
     """node --TYPE--> node ..."""
     rest = F.slice(nodes_, 2, F.greatest(F.size(nodes_) - 1, F.lit(0)))

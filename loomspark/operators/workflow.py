@@ -76,5 +76,12 @@ def sample_reason(chars: Column, n_facts: Column, rate: Column, n_forbidden: Col
     return F.when(~chars.between(MIN_CHARS, MAX_CHARS), "length").when(n_facts < MIN_FACTS, "few_facts").when(rate > max_rate, "unsupported").when(n_forbidden > 0, "forbidden")
 
 
+def samples(rows: DataFrame, system: str, max_rate: float = 0.0) -> DataFrame:
+    """(id, split, reason, messages) of (id, split, user, headline, body, cta, n_facts, rate, n_forbidden): chat samples, and why one is not kept."""
+    answer = F.concat(F.lit("HEADLINE: "), "headline", F.lit("\nBODY:\n"), "body", F.lit("\nCTA: "), "cta")
+    reason = sample_reason(F.length("body"), F.col("n_facts"), F.col("rate"), F.col("n_forbidden"), max_rate)
+    return rows.select("id", "split", reason.alias("reason"), chat(F.lit(system), F.col("user"), answer).alias("messages"))
+
+
 def chat(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", assistant))])

@@ -93,7 +93,7 @@ def depth_capped_projects(t: Tables):
 def chunk_sentences(t: Tables):
     """Rows only: the packing is a fold over sentences, tested against a plain one."""
     out = facts.chunks(t.documents, "doc_id", F.col("source"), F.concat_ws("\n", "source", "lang"), F.substring("text", 1, 40), F.col("text"))
-    return out.drop("text")
+    return out
 
 
 @query("""

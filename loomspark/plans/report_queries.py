@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import parse, text
-from loomspark.operators import evaluation, gold, ingest, retrieval, workflow
+from loomspark.operators import evaluation, gold, graph, ingest, retrieval, workflow
 from loomspark.plans.registry import Tables, collector
 from loomspark.plans.text_queries import SYLLABLES
+from loomspark.plans.training_queries import _UNITS, _units
 
 QUERIES, ORACLE_SQL, query = collector()
 
@@ -47,10 +48,10 @@ def brief_selection(t: Tables):
     return workflow.cycled(top.withColumn("o", F.struct(-F.col("n"), "source")), "o").select("source", "brief_no", "channel", "persona")
 
 
-@query(f"select item_id, array_to_string(list_filter(list_sort(list_distinct({SYLLABLES.format('text')})), lambda t: length(t) > 1), ' | ') as q from benchmark")
+@query(f"select item_id, array_to_string(list_filter(s, lambda t, i: length(t) > 1 and list_position(s, t) = i), ' | ') as q from (select item_id, {SYLLABLES.format('text')} as s from benchmark)")
 def or_query_terms(t: Tables):
-    """Sorted here, as SQL has no distinct that keeps the order; the operator itself keeps the first occurrences."""
-    return t.benchmark.select("item_id", F.array_join(F.array_sort(F.split(retrieval.or_query(F.col("text")), r" \| ")), " | ").alias("q"))
+    """Terms in the order of their first occurrences."""
+    return t.benchmark.select("item_id", retrieval.or_query(F.col("text")).alias("q"))
 
 
 @query("select p_partkey, array_to_string(list_transform(str_split(replace(p_name, ' ', '-'), '-'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as name, concat_ws(' · ', 'Dự án ' || p_name, nullif(p_brand, ''), p_type) as header from part")
@@ -88,3 +89,48 @@ def gold_attribute_questions(t: Tables):
     near = gold.near_anchor(t.part, ["p_brand", "p_type"], "p_partkey", "p_retailprice")
     made = gold.grouped(near, ["p_brand", "p_type", "anchor"], "p_partkey", None, "hard_attribute", F.concat_ws("/", "p_brand", "p_type"))
     return made.select("question", F.size("expected_ids").alias("n_expected"), F.col("expected_ids")[0].alias("first_id"))
+
+
+@query("with e as (select 'b' || s_suppkey as src, 'p' || s_nationkey as dst, 'PART_OF' as ty from supplier where s_suppkey % 3 = 0 union all select distinct 'b' || l_suppkey, 'u' || (l_linenumber % 3), 'HAS_UNIT_TYPE' from lineitem where l_suppkey % 3 = 0 union all select 'p' || n_nationkey, 'u' || (n_nationkey % 4), 'HAS_UNIT_TYPE' from nation) select a.dst as project, a.src as building, b.dst as unit, 2 as depth from e a join e b on b.src = a.src and b.ty = 'HAS_UNIT_TYPE' where a.ty = 'PART_OF' union all select src, null, dst, 1 from e where ty = 'HAS_UNIT_TYPE' and src in (select dst from e where ty = 'PART_OF')")
+def project_unit_paths(t: Tables):
+    node = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    built = t.supplier.where("s_suppkey % 3 = 0").select(node("b", F.col("s_suppkey")).alias("src"), node("p", F.col("s_nationkey")).alias("dst"), F.lit("PART_OF").alias("edge_type"))
+    units = t.lineitem.where("l_suppkey % 3 = 0").select(node("b", F.col("l_suppkey")).alias("src"), node("u", F.col("l_linenumber") % 3).alias("dst"), F.lit("HAS_UNIT_TYPE").alias("edge_type")).distinct()
+    own = t.nation.select(node("p", F.col("n_nationkey")).alias("src"), node("u", F.col("n_nationkey") % 4).alias("dst"), F.lit("HAS_UNIT_TYPE").alias("edge_type"))
+    return graph.unit_paths(built.unionByName(units).unionByName(own))
+
+
+@query("select 'n' || n_nationkey as node_id, n_name as name, n_regionkey::bigint as support from nation where n_nationkey in (select s_nationkey from supplier) and lower(n_name) like '%ti_n%' order by support desc, name limit 5")
+def entity_listing(t: Tables):
+    nodes = t.nation.select(F.expr("'n' || n_nationkey").alias("node_id"), F.lit("Project").alias("entity_type"), F.col("n_name").alias("canonical_key"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("support"))
+    edges = t.supplier.select(F.expr("'s' || s_suppkey").alias("src"), F.expr("'n' || s_nationkey").alias("dst"), F.lit("PART_OF").alias("edge_type"))
+    return graph.listed(nodes, edges, "Project", "TI_N", True, 5).select("node_id", "name", "support")
+
+
+@query("with p as (select 1 as depth, ['IN'] as types, ['s' || s_suppkey, 'n' || s_nationkey] as nodes from supplier union all select 2, ['IN', 'OF'], ['s' || s_suppkey, 'n' || s_nationkey, 'r' || n_regionkey] from supplier join nation on n_nationkey = s_nationkey) select depth, array_to_string(types, '>') as types, array_to_string(nodes, '>') as nodes from p order by p.depth, p.types, p.nodes limit 40")
+def path_order(t: Tables):
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    node = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    one = s.select(F.lit(1).alias("depth"), F.array(F.lit("IN")).alias("types"), F.array(node("s", "s_suppkey"), node("n", "s_nationkey")).alias("nodes"))
+    two = s.select(F.lit(2).alias("depth"), F.array(F.lit("IN"), F.lit("OF")).alias("types"), F.array(node("s", "s_suppkey"), node("n", "s_nationkey"), node("r", "n_regionkey")).alias("nodes"))
+    return graph.in_order(one.unionByName(two), 40).select("depth", F.array_join("types", ">").alias("types"), F.array_join("nodes", ">").alias("nodes"))
+
+
+@query(f"with {_UNITS} select doc_id, case when doc_id % 3 = 0 then 'project' else 'cluster' end as unit_type, split from documents join us on us.unit_type = case when doc_id % 3 = 0 then 'project' else 'cluster' end and us.unit_key = case when doc_id % 3 = 0 then source else cast(doc_id // 2 as varchar) end")
+def split_of_listing(t: Tables):
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("project"), F.expr("doc_id div 2").alias("cluster"))
+    return evaluation.split_of_rows(rows, _units(t), "project", "cluster").select("doc_id", "unit_type", "split")
+
+
+@query("select doc_id as id, case when doc_id % 2 = 0 then 'train' else 'validation' end as split, case when length(text) not between 140 and 4000 then 'length' when doc_id % 5 < 3 then 'few_facts' when doc_id % 7 > 5 then 'unsupported' when doc_id % 11 = 0 then 'forbidden' end as reason, 'system:sys|user:u' || doc_id || '|assistant:HEADLINE: h' || chr(10) || 'BODY:' || chr(10) || text || chr(10) || 'CTA: c' as messages from documents")
+def chat_samples(t: Tables):
+    i = F.col("doc_id")
+    rows = t.documents.select(i.alias("id"), F.when(i % 2 == 0, "train").otherwise("validation").alias("split"), F.concat(F.lit("u"), i.cast("string")).alias("user"), F.lit("h").alias("headline"), F.col("text").alias("body"), F.lit("c").alias("cta"), (i % 5).alias("n_facts"), (i % 7 > 5).cast("double").alias("rate"), (i % 11 == 0).cast("int").alias("n_forbidden"))
+    return workflow.samples(rows, "sys").withColumn("messages", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+
+
+@query("select conv_id, turn, to_json({'role': role, 'n': length(text)}) as packed, [role, cast(turn as varchar)] as pair from conversations")
+def packed_rows(t: Tables):
+    """Rows packed for an interface: an object and a list of each."""
+    c = t.conversations
+    return c.select("conv_id", "turn", F.to_json(F.struct("role", F.length("text").alias("n"))).alias("packed"), F.array("role", F.col("turn").cast("string")).alias("pair"))

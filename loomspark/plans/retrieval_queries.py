@@ -241,7 +241,7 @@ def _kb_shown(df, *more):
     return df.select(*more, "query_id", "id", F.round("score", 6).alias("score"), "retriever", F.col("rank").cast("long").alias("rank"), "path")
 
 
-@query(_R1 + f" select 'fts' as mode, query_id, id, round(score, 6) as score, 'fts' as retriever, rank, null::varchar as path from fr where rank <= {K} union all select 'bm25', query_id, id, round(score, 6), 'bm25', rank, null from b1 where rank <= {K} union all select 'vector', query_id, id, round(score, 6), 'vector', rank, null from vw where rank <= {K} union all select 'hybrid', query_id, id, round_even(score, 6), retriever, rank, null from hy where rank <= {K}")
+@query(_R1 + f" select 'fts' as mode, query_id, id, round(score, 6) as score, 'fts' as retriever, rank, null::varchar as path from fr where rank <= {K} union all select 'bm25', query_id, id, round(score, 6), 'bm25', rank, null from b1 where rank <= {K} union all select 'vector', query_id, id, round(score, 6), 'vector', rank, null from vw where rank <= {K} union all select 'hybrid', query_id, id, round_even(round(score, 12), 6), retriever, rank, null from hy where rank <= {K}")
 def retrieve_r1(t: Tables):
     asked, out = _kb_questions(t), None
     for mode in ("fts", "bm25", "vector", "hybrid"):
@@ -268,7 +268,7 @@ def _allowed(table: str, name: str) -> str:
 _R3 = f"with {_DOCS}, {_KB}, {_BM}, {_KVEC}, {_KENT}, {_KGRAPH}, rh as (select query_id, project as held from rt), {_held_bm('rh')}, {_held_vec('rh')}, gw as (select query_id, id, rank, path from gr where rank <= {WIDE}), {_allowed('bw', 'ba')}, {_allowed('vw', 'va')}, {_allowed('gw', 'ga')}, rw as (" + " union all ".join(f"select query_id, '{b}' as branch, {_weight_case(b)} as weight from rt" for b in ("bm25", "vector", "graph")) + f"), {_fused([('bm25', 'ba'), ('vector', 'va'), ('graph', 'ga')], 'r3', 'rw using (query_id, branch)')}, {_PLAIN}, {_constant(retrieval.DEFAULT_WEIGHTS, 'dw')}, {_fused([('bm25', 'bp'), ('vector', 'vp'), ('graph', 'gw')], 'r3f', 'dw using (branch)')}"
 
 
-@query(_R3 + f" select 'router' as mode, query_id, id, round_even(score, 6) as score, retriever, rank, path from r3 where rank <= {K} union all select 'fixed', query_id, id, round_even(score, 6), retriever, rank, path from r3f where rank <= {K}")
+@query(_R3 + f" select 'router' as mode, query_id, id, round_even(round(score, 12), 6) as score, retriever, rank, path from r3 where rank <= {K} union all select 'fixed', query_id, id, round_even(round(score, 12), 6), retriever, rank, path from r3f where rank <= {K}")
 def retrieve_r3(t: Tables):
     entities, edges = _kb_graph(t)
     run = lambda mode, router: _kb_shown(retrieval.retrieve_r3(_index(t), entities, edges, _kb_questions(t), K, use_router=router), F.lit(mode).alias("mode"))

@@ -16,16 +16,9 @@ SYLLABLES = "list_filter(regexp_extract_all(" + FLAT + ", '[a-z0-9]+'), lambda t
 TERMS = "(select list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || '_' || s[i + 1])) from (select " + SYLLABLES + " as s))"
 
 
-@query(f"select doc_id, cast(len({SYLLABLES.format('text')}) as bigint) as n_tokens, array_to_string({SYLLABLES.format('text')}[1:20], ' ') as head from documents")
+@query(f"select doc_id, array_to_string({SYLLABLES.format('text')}, ' ') as tokens from documents")
 def deaccent_tokens(t: Tables):
-    tokens = text.syllables(F.col("text"))
-    return t.documents.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.slice(tokens, 1, 20), " ").alias("head"))
-
-
-@query()
-def deaccent_tokens_whole(t: Tables):
-    """Rows only: all tokens of each text."""
-    return t.documents.select("doc_id", text.syllables(F.col("text")).alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(text.syllables(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"with s as (select doc_id, {SYLLABLES.format('text')} as s from documents), w as (select doc_id, unnest(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || '_' || s[i + 1]))) as term from s) select doc_id as id, term, count(*) as tf from w group by all")
@@ -97,10 +90,10 @@ def keyword_dictionary(t: Tables):
     return t.documents.select("doc_id", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["value"], x["snippet"])), ";").alias("found"))
 
 
-@query("select page_id, cast(length(regexp_replace(regexp_replace(html, 'Sentry\\.onLoad.*', ' ', 's'), 'function\\s*\\(\\s*\\)\\s*\\{.*', ' ', 's')) as bigint) as n from (select page_id, html || case when page_id % 3 = 0 then 'Sentry.onLoad(1)\nx' when page_id % 3 = 1 then 'function () { a }' else '' end as html from pages)")
+@query("select page_id, sha256(regexp_replace(regexp_replace(html, 'Sentry\\.onLoad.*', ' ', 's'), 'function\\s*\\(\\s*\\)\\s*\\{.*', ' ', 's')) as plain_hash from (select page_id, html || case when page_id % 3 = 0 then 'Sentry.onLoad(1)\nx' when page_id % 3 = 1 then 'function () { a }' else '' end as html from pages)")
 def boilerplate_strip(t: Tables):
     page = F.expr(r"html || case when page_id % 3 = 0 then 'Sentry.onLoad(1)\nx' when page_id % 3 = 1 then 'function () { a }' else '' end")
-    return t.pages.select("page_id", F.length(text.strip_boilerplate(page)).cast("long").alias("n"))
+    return t.pages.select("page_id", F.sha2(text.strip_boilerplate(page), 256).alias("plain_hash"))
 
 
 @query("""

@@ -163,7 +163,9 @@ def claim_check(t: Tables):
     """Rows only: sentences are split with look-behind. Claims of each turn against the numbers of its conversation's first turn."""
     first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("fact"))
     rows = t.conversations.join(first, "conv_id")
-    found = evaluation.claims(F.concat("text", F.lit(" giá 12 và 7.50 m2.")), evaluation.allowed_numbers(F.array("fact", F.lit("12,0"))))
+    none = F.lit(None).cast("string")
+    fact = F.struct(F.col("fact").alias("text"), F.lit("12,0").alias("value_text"), F.lit(4.9e9).alias("value_num"), F.lit("2024-01-05").alias("valid_from"), none.alias("valid_to"))
+    found = evaluation.claims(F.concat("text", F.lit(" giá 12 hay 4.9 tỷ và 7.50 m2.")), evaluation.allowed_of_facts(F.array(fact)))
     return rows.select("conv_id", "turn", evaluation.claim_summary(found).alias("s")).select("conv_id", "turn", "s.*")
 
 

@@ -56,9 +56,12 @@ def _at_exit() -> None:
         release(spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialize` wrote in this process; frames that read them can be used no more."""
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete every table that :func:`materialize` wrote in this process, but those whose labels begin as in ``keep``; frames that read them can be used no more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    kept = [p for p in _written if p.rpartition("/")[2].startswith(keep)] if keep else []
+    for written in _written:
+        if written not in kept:
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(conf).delete(path, True)
+    _written[:] = kept
