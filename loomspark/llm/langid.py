@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomspark.llm.lean import lean
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, usable: Column, rows: int = ROWS, row_chars: int = ROW_
     in any case; it is cut only if it alone has more.
     """
     h, n = F.xxhash64(F.lit(3), "doc_id"), F.length("text")
-    labelled = docs.where(usable & F.col("lang").isNotNull() & (n > 0))
+    labelled = docs.where(usable & F.col("lang").isNotNull() & (n > 0)).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.greatest("n", F.lit(row_chars)), "h", "doc_id", "n")
     ranked = labelled.select("doc_id", "lang", h.alias("h"), n.alias("n")).withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows).collect()
     chars = min(chars, max(1, all_chars // max(1, len({r["lang"] for r in ranked}))))
@@ -246,6 +247,7 @@ def assign(docs: DataFrame, model: Model) -> DataFrame:
     Rows, nulls, ties and long texts are as in :func:`identify`.
     """
     own = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    plain = own.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(own.columns)])  # columns of any name go to Python
+    fields = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(lean(_predict(shared, keep_text=True)), fields + ", lang_pred string, score double")
+    return plain.mapInArrow(lean(_predict(shared, keep_text=True)), fields).toDF(*own.columns, "lang_pred", "score")

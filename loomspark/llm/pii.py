@@ -268,4 +268,4 @@ def masked(docs: DataFrame) -> DataFrame:
     both = docs.join(found, (key == found["_key"]) & docs["doc_id"].eqNullSafe(found["_id"]), "left")
     text = F.when(found["_spans"].isNull(), docs["text"]).otherwise(mask(docs["text"], found["_spans"]))
     changed = {"text": text} | ({"n_chars": F.when(found["_spans"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return both.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    return both.select(*[changed[c].alias(c) if c in changed else docs[f"`{c}`"] for c in docs.columns])

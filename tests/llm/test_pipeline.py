@@ -42,3 +42,32 @@ def test_stages(spark, tmp_path):
     ids = packing.Ids(tokenizer_path(), 2)
     assert sum(r["length"] for r in seen["packed"]) == sum(len(ids.encode(r["text"])) for r in seen["mixture"])
     assert pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text, clashing names and an empty table, through every stage."""
+    rng = random.Random(1)
+    prose = lambda lang, n: " ".join(rng.choice(WORDS[lang]) + rng.choice(WORDS[lang]) for _ in range(n))
+    names = ["lang_pred", "score", "_size", "_taken", "row", "key", "_key", "_id", "_spans", "component", "a.b"]
+    rows = [(i, prose(lang, 40), lang, rng.choice(["a", None])) for i in range(12) for lang in [("en", "de")[i % 2]]]
+    rows += [(None, prose("en", 30), None, None), (None, None, None, None), (20, "", "en", "a"), (21, prose("de", 60_000), "de", "a"), rows[3], rows[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    table = spark.createDataFrame([(*r, len(r[1] or ""), *[f"{n} {r[0]}" for n in names]) for r in rows], schema)
+    for n, docs in enumerate((table, table.limit(0), table.where("doc_id is null"))):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            before, out = docs, stage(spark, docs, str(tmp_path))
+            if k < len(pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+                out.write.parquet(f"{tmp_path}/{n}-{name}")
+                docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+                assert all(r[f"{c}"] == f"{c} {r['doc_id']}" for r in docs.collect() for c in names)
+            if n == 1:
+                assert out.count() == 0
+            elif name == "near_duplicates" and n == 0:
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == sorted([*map(str, range(12)), "21", "None"])
+        if n == 0:
+            ids = packing.Ids(tokenizer_path(), 2)
+            assert sum(r["length"] for r in out.collect()) == sum(len(ids.encode(r["text"])) for r in before.collect())
+    # Each stage also takes rows that a stage before it would have dropped.
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, table, str(tmp_path)).count() > 0
