@@ -21,16 +21,16 @@ PIECE = 1000
 DIGITS = 12
 
 
-def pieces(questions: DataFrame, key: str, size: int = PIECE) -> list[list]:
-    """Rows of the questions in the order of their key, in pieces; one piece is on the driver at a time as long as the caller drops it."""
-    rows = questions.orderBy(key).toLocalIterator(prefetchPartitions=False)
-    out, now = [], []
-    for row in rows:
+def pieces(questions: DataFrame, key: str, size: int = PIECE) -> Iterator[list]:
+    """Rows of the questions in the order of their key, in pieces; a partition and a piece are on the driver at a time."""
+    now = []
+    for row in questions.orderBy(key).toLocalIterator(prefetchPartitions=False):
         now.append(row)
         if len(now) == size:
-            out.append(now)
+            yield now
             now = []
-    return [*out, now] if now else out
+    if now:
+        yield now
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, names: list, k: int, least: float) -> tuple[list, list, list]:

@@ -68,4 +68,5 @@ def build_summary(old: DataFrame, new: DataFrame, keys: list[str], postings_: Da
     touched = change.where("change in ('insert', 'update')").select(*keys)
     written = postings_.join(touched, keys, "left_semi").agg(F.count("*").alias("postings_written"))
     embedded = stale_embeddings(refreshed(old, new, keys), model).agg(F.count("*").alias("embedded"))
-    return counts.crossJoin(written).crossJoin(embedded)  # three rows of one
+    three = counts.unionByName(written, allowMissingColumns=True).unionByName(embedded, allowMissingColumns=True)
+    return three.agg(*[F.max(c).alias(c) for c in three.columns])

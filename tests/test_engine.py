@@ -329,3 +329,28 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windowed").collect())) == sorted(map(tuple, micro_batch.windowed_counts(events).collect()))
+
+
+def test_adapter_folders(spark, tmp_path):
+    assert files.adapters(spark, f"{tmp_path}/none").count() == 0 and files.adapters(spark, str(tmp_path)).count() == 0
+    for name, held in {
+        "good": {files.CARD: '{"base_model": "b", "dataset_version": "v", "lora": {"r": 8}, "training": {"n": 1}}', files.CONFIG: "{}", files.WEIGHTS[1]: "weights"},
+        "bare": {files.CONFIG: '{"base_model_name_or_path": "c"}', files.WEIGHTS[0]: "w0", files.WEIGHTS[1]: "w1"},
+        "odd": {files.CARD: "{", files.CONFIG: '{"x": 1}', "other.txt": "x"}, "trial": {files.CARD: '{"base_model": "b", "smoke": true}'},
+    }.items():
+        (tmp_path / name).mkdir()
+        for file, text_ in held.items():
+            (tmp_path / name / file).write_text(text_)
+    got = {r["name"]: r for r in files.adapters(spark, str(tmp_path)).collect()}
+    digest = lambda t: __import__("hashlib").sha256(t).hexdigest()[:16]
+    assert (got["good"]["loadable"], got["good"]["base_model"], got["good"]["problems"], got["good"]["fingerprint"]) == (True, "b", [], digest(b"weights"))
+    assert (got["bare"]["loadable"], got["bare"]["base_model"], got["bare"]["fingerprint"], len(got["bare"]["problems"])) == (True, "c", digest(b"w0"), 1)
+    assert not got["odd"]["loadable"] and not got["odd"]["has_card"] and "no base model" in got["odd"]["problems"]
+    assert "made from trial data" in got["trial"]["problems"] and not got["trial"]["loadable"]
+
+
+def test_chat_samples_are_read(spark, tmp_path):
+    lines = [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"messages": []}, {"x": 1}]
+    (tmp_path / "s.jsonl").write_text("\n\n".join(json.dumps(x) for x in lines) + "\n{broken\n")
+    got = files.read_chat(spark, f"{tmp_path}/s.jsonl").collect()
+    assert [(r["n_messages"], r["answer"]) for r in got] == [(2, "a")]
