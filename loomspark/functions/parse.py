@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import deaccent, evidence, let
+from loomspark.functions.text import deaccent, evidence, fold, let
 
 #: Fixed values.
 TY = r"(?iu)(\d{1,4}(?:[.,]\d{1,3})?)\s*(?:tỷ|tỉ|ty)(?:\s*(\d{1,3})(?!\s*(?:m|tr|%|,|\.|\d|phòng|pn|ngủ|wc|tầng|lầu|triệu|nghìn|tỷ|tỉ)))?"
@@ -49,27 +49,15 @@ def _hits(text: Column, pattern: str, *groups: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
     rows = F.arrays_zip(whole.alias("m"), F.split(text, pattern, -1).alias("gap"), *columns)
-    kind = "array<struct<start: int, end: int, " + ", ".join(f"g{g}: string" for g in groups) + ">>"
-    none = F.array().cast(kind)
+    kind = "struct<start: int, end: int, " + ", ".join(f"g{g}: string" for g in groups) + ">"
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + F.length(x["gap"])
         b = a + F.coalesce(F.length(x["m"]), F.lit(0))
         one = F.struct(a.alias("start"), b.alias("end"), *[x[f"g{g}"].alias(f"g{g}") for g in groups])
-        return F.struct(b.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+        return b, F.when(x["m"].isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array(one))
 
-    def in_blocks(every: Column) -> Column:
-        # An array that grows is copied each time, so matches are taken in blocks of about the root of their number.
-        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(every))).cast("int"))
-
-        def block(acc: Column, i: Column) -> Column:
-            own = F.aggregate(F.slice(every, i, size), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-            return let(own, lambda got: F.struct(got["at"].alias("at"), F.array_append(acc["out"], got["out"]).alias("out")))
-
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), size), first, block, lambda acc: F.flatten(acc["out"]))
-
-    return let(rows, in_blocks)
+    return fold(rows, F.lit(0), kind, step)["out"]
 
 
 def _num(token: Column) -> Column:

@@ -24,6 +24,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def fold(every: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """struct(s, out): the state after all elements of an array, and what the steps gave, as (state, array of ``kind``).
+
+    An array that grows is copied each time, so elements are taken in blocks of about the root of their number.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def of(every: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(every))).cast("int"))
+
+        def one(acc: Column, x: Column) -> Column:
+            s, add = step(acc["s"], x)
+            return F.struct(s.alias("s"), F.concat(acc["out"], add).alias("out"))
+
+        def block(acc: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(every, i, size), F.struct(acc["s"].alias("s"), none.alias("out")), one)
+            return let(own, lambda got: F.struct(got["s"].alias("s"), F.array_append(acc["out"], got["out"]).alias("out")))
+
+        first = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        blocks = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), size)
+        return F.aggregate(blocks, first, block, lambda acc: F.struct(acc["s"].alias("s"), F.flatten(acc["out"]).alias("out")))
+
+    return let(every, of)
+
+
 @cache
 def accent_table() -> tuple[str, str]:
     """Lower-case letters with accents and what remains of each without them."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions.text import sha_key
+from loomspark.functions.text import fold, sha_key
 
 #: Fixed values: (state before, action, state after).
 TRANSITIONS = (("draft", "submit", "in_review"), ("in_review", "approve", "approved"), ("in_review", "reject", "rejected"), ("rejected", "edit", "draft"), ("draft", "edit", "draft"))
@@ -39,21 +39,19 @@ def judged(events: DataFrame, key: str, order: str) -> DataFrame:
     steps of one text's review, a few dozen.
     """
     rows = F.array_sort(F.collect_list(F.struct(order, "action", "actor", "author", "note")))
+    kind = f"struct<{order}: {dict(events.dtypes)[order]}, action: string, before: string, after: string, refused: string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        to = _after(acc["state"], x["action"])
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        to = _after(state, x["action"])
         why = (
             F.when(to.isNull(), "no_transition")
             .when((x["action"] == "approve") & x["actor"].eqNullSafe(x["author"]), "self_review")
             .when((x["action"] == "reject") & (F.coalesce(x["note"], F.lit("")) == ""), "no_note")
         )
-        new = F.when(why.isNull(), to).otherwise(acc["state"])
-        one = F.struct(x[order].alias(order), x["action"].alias("action"), acc["state"].alias("before"), new.alias("after"), why.alias("refused"))
-        return F.struct(new.alias("state"), F.array_append(acc["out"], one).alias("out"))
+        new = F.when(why.isNull(), to).otherwise(state)
+        return new, F.array(F.struct(x[order].alias(order), x["action"].alias("action"), state.alias("before"), new.alias("after"), why.alias("refused")))
 
-    kinds = dict(events.dtypes)
-    empty = F.array().cast(f"array<struct<{order}: {kinds[order]}, action: string, before: string, after: string, refused: string>>")
-    folded = F.aggregate("_r", F.struct(F.lit("draft").alias("state"), empty.alias("out")), step, lambda acc: acc["out"])
+    folded = fold(F.col("_r"), F.lit("draft"), kind, step)["out"]
     return events.groupBy(key).agg(rows.alias("_r")).select(key, F.explode(folded).alias("e")).select(key, "e.*")
 
 
