@@ -1,11 +1,13 @@
 """Near-duplicate vectors by spherical caps with structured random product codes.
 
 A direction is the concatenation of one codeword from each of ``PARTS`` small random codebooks, so a few
-codewords make very many directions. A vector's cap is as high as lets in its ``FILTERS`` nearest directions;
-these are list-decoded from sorted partial products, of which only pairs of ranks i, j with i j <= FILTERS
-can be among them. A vector belongs to the filter of each direction in its cap; vectors are joined on filters
-and verified. The number of directions grows with the number of vectors, so a filter holds a few unrelated
-ones at any size. (With one height for all caps, half of the vectors have no direction in theirs.)
+codewords make very many directions. A vector's cap is as high as lets in its nearest directions, a number
+that all caps share; these are list-decoded from sorted partial products, of which only pairs of ranks i, j
+whose product is no more than that number can be among them. A vector belongs to the filter of each direction
+in its cap; vectors are joined on filters and verified. The number of directions grows with the number of
+vectors, so a filter holds a few unrelated ones at any size, and so does the number in a cap, as finer
+directions are shared less often: recall stays about the same. (With one height for all caps, half of the
+vectors have no direction in theirs.)
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from loomspark.operators.components import connected_components
 from loomspark.scratch import materialize
 
 PARTS = 4
-#: Filters of a vector; unrelated vectors that a filter is expected to hold.
-FILTERS, LOAD = 16, 2
+#: Filters of a vector up to so many vectors, and the power by which they grow beyond; unrelated vectors that a filter is expected to hold.
+FILTERS, VECTORS, GROWTH, LOAD = 16, 10_000, 0.15, 2
 #: Vectors of a filter that are compared at once; larger filters are dealt out as pairs of blocks.
 BLOCK = 512
 
@@ -32,7 +34,8 @@ BLOCK = 512
 class Code:
     """Codebooks for a number of vectors."""
 
-    def __init__(self, dim: int, vectors: int, seed: int = 11, filters: int = FILTERS) -> None:
+    def __init__(self, dim: int, vectors: int, seed: int = 11, filters: int | None = None) -> None:
+        filters = filters or max(FILTERS, round(FILTERS * (vectors / VECTORS) ** GROWTH))
         self.words, self.most = max(4, round((max(vectors, 1) * filters / LOAD) ** (1 / PARTS))), filters
         rng = np.random.default_rng(seed)
         self.cuts = [dim * k // PARTS for k in range(PARTS + 1)]

@@ -12,12 +12,10 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import let
+from loomspark.functions.text import fold, let
 from loomspark.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,30 +43,6 @@ NEAR = 64
 SECRET_LENGTH, SECRET_DIGITS, SECRET_LETTERS = 32, 6, 4
 
 
-def _fold(every: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """(s, out): the state after all elements, and the spans that the steps gave, as (state, array of spans).
-
-    An array that grows is copied each time, so elements are taken in blocks of about the root of their number.
-    """
-
-    def of(every: Column) -> Column:
-        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(every))).cast("int"))
-        none = F.array().cast(_SPAN)
-
-        def one(acc: Column, x: Column) -> Column:
-            s, add = step(acc["s"], x)
-            return F.struct(s.alias("s"), F.concat(acc["out"], add).alias("out"))
-
-        def block(acc: Column, i: Column) -> Column:
-            return let(F.aggregate(F.slice(every, i, size), F.struct(acc["s"].alias("s"), none.alias("out")), one), lambda got: F.struct(got["s"].alias("s"), F.array_append(acc["out"], got["out"]).alias("out")))
-
-        first = F.struct(state.alias("s"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-        blocks = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), size)
-        return F.aggregate(blocks, first, block, lambda acc: F.struct(acc["s"].alias("s"), F.flatten(acc["out"]).alias("out")))
-
-    return let(every, of)
-
-
 def _found(text: Column, pattern: str, rank: int, kind: str) -> Column:
     """Spans of all matches, from the lengths of what lies between and of the matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -80,7 +54,7 @@ def _found(text: Column, pattern: str, rank: int, kind: str) -> Column:
         one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"), F.right(x["g"], F.lit(NEAR)).alias("left"))
         return end, F.when(x["m"].isNull(), F.array().cast(_SPAN)).otherwise(F.array(one))
 
-    return _fold(zipped, F.lit(0), step)["out"]
+    return fold(zipped, F.lit(0), _ONE, step)["out"]
 
 
 def _apart(spans: Column, base: Column) -> Column:
@@ -95,7 +69,7 @@ def _apart(spans: Column, base: Column) -> Column:
         return F.struct(F.when(is_base, F.greatest(s["reach"], x["end"])).otherwise(s["reach"]).alias("reach"), new.alias("held")), add
 
     state = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(_ONE).alias("held"))
-    both = _fold(F.array_sort(F.concat(base, spans)), state, step)
+    both = fold(F.array_sort(F.concat(base, spans)), state, _ONE, step)
     return F.when(F.size(base) == 0, spans).otherwise(let(both, lambda b: F.concat(b["out"], F.when(b["s"]["held"].isNull(), none).otherwise(F.array(b["s"]["held"])))))
 
 
@@ -251,7 +225,7 @@ def mask(text: Column, spans: Column) -> Column:
 
         return F.concat(F.substring(text, F.lit(1), F.get(every, 0)["start"]), F.array_join(F.transform(F.sequence(F.lit(1), F.size(every), size), part), ""))
 
-    whole = let(_fold(given, F.lit(None).cast(_ONE), step), lambda b: F.concat(b["out"], F.array(b["s"])))
+    whole = let(fold(given, F.lit(None).cast(_ONE), _ONE, step), lambda b: F.concat(b["out"], F.array(b["s"])))
     return F.when(F.size(spans) > 0, let(whole, masked_parts)).otherwise(text)
 
 

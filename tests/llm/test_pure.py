@@ -342,3 +342,16 @@ def test_pages_without_head_end_and_broken_tags():
         linehtml.extract(page)
         assert time.time() - began < 3
     assert linehtml.extract("<p>a <!-- > b") == "a" and linehtml.extract("<p>a</p><script>x > y") == "a" and linehtml.extract("a < b") == "a < b"
+
+
+def test_caps_find_pairs_at_the_threshold_whatever_the_number_of_vectors():
+    rng = np.random.default_rng(5)
+    a, z = rng.standard_normal((2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * z
+    for vectors in (100, 10_000, 1_000_000, 100_000_000):
+        code = capdedup.Code(64, vectors)
+        met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(code.filters(a), code.filters(b))]
+        assert np.mean(met) >= 0.95, vectors
