@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import evaluation, index, retrieval
 from loomspark.plans.registry import Tables, collector
 from loomspark.plans.text_queries import SYLLABLES
+from loomspark.scratch import releases
 
 QUERIES, ORACLE_SQL, query = collector()
 
@@ -22,12 +23,12 @@ sc as (select query_id, id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::doubl
 bm as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from sc)"""
 _BM25 = f"{_DOCS}, {_ASKED}, {_BM}"
 
-_indexes: dict[tuple[str, str], index.Index] = {}
+_indexes: dict[tuple[str, str, int], index.Index] = {}
 
 
 def _index(t: Tables) -> index.Index:
     """The persisted index of the documents, built once in a session for a folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = (t.spark.sparkContext.applicationId, t.folder, releases())
     if key not in _indexes:
         vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
         chunks = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("project"), F.when(F.col("doc_id") % 3 == 0, "facts").otherwise("description").alias("chunk_type"))

@@ -19,6 +19,7 @@ FEW_ROWS = 2_000_000
 PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 _own: str | None = None
 _written: list[str] = []
+_releases = 0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,9 +57,16 @@ def _at_exit() -> None:
         release(spark)
 
 
+def releases() -> int:
+    """How often all tables were deleted: what holds on to one is out of date when it grows."""
+    return _releases
+
+
 def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Delete every table that :func:`materialize` wrote in this process, but those whose labels begin as in ``keep``; frames that read them can be used no more."""
+    global _releases
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _releases += not keep
     kept = [p for p in _written if p.rpartition("/")[2].startswith(keep)] if keep else []
     for written in _written:
         if written not in kept:

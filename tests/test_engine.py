@@ -354,3 +354,20 @@ def test_chat_samples_are_read(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text("\n\n".join(json.dumps(x) for x in lines) + "\n{broken\n")
     got = files.read_chat(spark, f"{tmp_path}/s.jsonl").collect()
     assert [(r["n_messages"], r["answer"]) for r in got] == [(2, "a")]
+
+
+def test_index_is_built_anew_after_a_release(spark, tmp_path):
+    from loomspark import scratch
+    from loomspark.plans import catalogue
+
+    spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = scratch._written[:]
+    scratch._written.clear()
+    assert catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).count() == 1
+    scratch.release(spark, keep=("index-",))
+    assert catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).count() == 1 and scratch._written
+    scratch.release(spark)
+    assert not scratch._written and catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).count() == 1
+    scratch._written.extend(held)
