@@ -74,16 +74,27 @@ def _unit(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def _decoded(code, dim: int, base: int = 0):
+def _again(raw: list[bytes], single: bool) -> np.ndarray:
+    """Unit vectors in double precision from the components as they are stored; a vector's do not depend on the others."""
+    v = np.frombuffer(b"".join(raw), np.float32 if single else np.float64).reshape(len(raw), -1).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _decoded(code, dim: int, single: bool, base: int = 0):
+    """Filters of each vector; its components travel in single precision where they are stored so."""
+    kind = np.float32 if single else np.float64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = code.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                unit, good = _unit(part.column("embedding").to_pylist(), dim)
+                rows = part.column("embedding").to_pylist()
+                unit, good = _unit(rows, dim)
                 found = c.filters(unit[good]) + base
                 ids = [x for x, g in zip(part.column("nid").to_pylist(), good, strict=True) if g]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([u.tobytes() for u in unit[good]], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["nid", "unit", "own", "filters"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.asarray(x, kind).tobytes() for x, g in zip(rows, good, strict=True) if g], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["nid", "raw", "own", "filters"])
 
     return run
 
@@ -97,11 +108,11 @@ def first_common(own: list[np.ndarray], f: int) -> np.ndarray:
     return m @ m.T > 0
 
 
-def _linked(cosine: float):
+def _linked(cosine: float, single: bool):
     """Links of blocks of filters, each pair only in the first filter that both are in."""
 
     def pairs(rows: dict[str, list]) -> tuple[list, list, list]:
-        unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows["nid"]), -1)
+        unit = _again(rows["raw"], single)
         ids, side, n = np.array(rows["nid"]), np.array(rows["side"]), np.array(rows["times"])
         near = np.triu(unit @ unit.T >= cosine - 1e-9, 1)
         if rows["a"] != rows["b"]:
@@ -145,12 +156,12 @@ def _linked(cosine: float):
 
         for batch in batches:
             keys = zip(*[batch.column(c).to_pylist() for c in ("f", "a", "b")], strict=True)
-            values = zip(*[batch.column(c).to_pylist() for c in ("nid", "unit", "own", "side", "times")], strict=True)
+            values = zip(*[batch.column(c).to_pylist() for c in ("nid", "raw", "own", "side", "times")], strict=True)
             for key, value in zip(keys, values, strict=True):
                 if key != now:
                     yield from flush()
-                    now, rows = key, dict(zip(("f", "a", "b"), key, strict=True)) | {c: [] for c in ("nid", "unit", "own", "side", "times")}
-                for c, x in zip(("nid", "unit", "own", "side", "times"), value, strict=True):
+                    now, rows = key, dict(zip(("f", "a", "b"), key, strict=True)) | {c: [] for c in ("nid", "raw", "own", "side", "times")}
+                for c, x in zip(("nid", "raw", "own", "side", "times"), value, strict=True):
                     rows[c].append(x)
         yield from flush(last=True)
 
@@ -169,6 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> Da
     with each other. An empty table gives no rows. Labels and other columns are not read.
     """
     spark = vectors.sparkSession
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
     rows = vectors.select("vec_id", "embedding", F.expr("transform(embedding, x -> cast(x as double))").alias("_v"))
     bad = F.col("_v").isNull() | F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("_v", lambda x: x != 0)
     rows = rows.withColumn("_bad", F.coalesce(bad, F.lit(True)))
@@ -185,16 +197,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> Da
         of_dim = Code(dim, sizes.get(dim, 0), seed)
         code = spark.sparkContext.broadcast(of_dim)
         mine = nodes.where(F.size("embedding") == dim).select("nid", "embedding")
-        decoded.append(mine.mapInArrow(lean(_decoded(code, dim, base)), "nid long, unit binary, own binary, filters array<long>"))
+        decoded.append(mine.mapInArrow(lean(_decoded(code, dim, single, base)), "nid long, raw binary, own binary, filters array<long>"))
         base += of_dim.words**PARTS
     held = materialize(reduce(DataFrame.unionByName, decoded).join(nodes.select("nid", "times"), "nid"), "caps-filters")
     sizes = held.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.expr(f"cast((count + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
-    member = held.select(F.explode("filters").alias("f"), "nid", "unit", "own", "times").hint("merge").join(sizes, "f")
+    member = held.select(F.explode("filters").alias("f"), "nid", "raw", "own", "times").hint("merge").join(sizes, "f")
     member = member.withColumn("side", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("f", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "nid", "unit", "own", "side", "times")
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("f", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "nid", "raw", "own", "side", "times")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = materialize(
-        dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b", "nid").mapInArrow(lean(_linked(cosine)), "nid long, links long, near long"), "caps-links"
+        dealt.repartition(n, "f", "a", "b").sortWithinPartitions("f", "a", "b", "nid").mapInArrow(lean(_linked(cosine, single)), "nid long, links long, near long"), "caps-links"
     )
     total = links.groupBy("nid").agg(F.sum("links").alias("links"))
     labels = connected_components(links.select(F.col("nid").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "nid")
