@@ -65,8 +65,13 @@ def deaccent(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), *accent_table()), r"\p{Mn}+", "")
 
 
+def flat_syllables(flat: Column) -> Column:
+    """Syllables of a text that is without accents already."""
+    return F.filter(F.regexp_extract_all(flat, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) <= MAX_TOKEN)
+
+
 def syllables(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(deaccent(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) <= MAX_TOKEN)
+    return flat_syllables(deaccent(text))
 
 
 def with_bigrams(tokens: Column) -> Column:

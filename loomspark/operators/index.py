@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import deaccent, terms
+from loomspark.functions.text import deaccent, flat_syllables, with_bigrams
 from loomspark.operators.ingest import changes
 from loomspark.scratch import materialize
 
@@ -23,8 +23,8 @@ class Index:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of (id, text): each chunk is tokenised once."""
-    tokens = chunks.select("id", terms(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    """(term, id, tf, dl) of (id, flat): each chunk is tokenised once."""
+    tokens = chunks.select("id", with_bigrams(flat_syllables(F.col("flat"))).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     return tokens.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 
@@ -34,8 +34,8 @@ def build(chunks: DataFrame) -> Index:
     Postings are dealt by ranges of (term, id) and sorted, so a frequent term has several files, and a search for
     a few terms reads only row groups that hold them.
     """
-    held = materialize(postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "index-postings")
     flat = materialize(search_vectors(chunks), "index-chunks")
+    held = materialize(postings(flat).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "index-postings")
     lengths = held.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.avg("dl").alias("avgdl")).first()
     return Index(held, flat, flat.count(), float(lengths["avgdl"] or 1.0))
 
