@@ -219,6 +219,23 @@ def test_every_near_signature_is_met(spark):
     assert all(len(dedup.tables(64, 6, n)) >= 7 for n in (1, 10**4, 10**9)) and len(dedup.tables(64, 6, 10**9)) == 210
 
 
+def test_signatures_meet_without_a_broadcast(spark):
+    rows = spark.range(300).selectExpr("id", "xxhash64(id) as simhash")
+    plan = dedup.near_pairs(rows, 64, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [band" in plan and "BroadcastHashJoin [band" not in plan
+
+
+def test_signatures_are_taken_once_and_by_rows(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["một", "hai", "Ba", "4", "x" * 61, "năm"]) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", None, "!", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for rows in (docs, docs.unionByName(docs.limit(9).withColumn("text", F.lit("other words stand here")))):
+        got, plain = ({r["id"]: r["simhash"] for r in f(rows, "id", "text").collect()} for f in (dedup.simhash_md5, dedup.simhash_native))
+        assert got == plain and 30 not in got and len(got) > 20
+    plan = dedup.near_pairs(dedup.simhash_md5(docs, "id", "text"), most=2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_hubs_are_cut_before_they_are_joined(spark):
     edges = spark.createDataFrame([(f"s{i:03d}", "hub", "IN") for i in range(60)] + [("s000", "s050", "NEAR"), ("s050", "far", "NEAR")], "src string, dst string, edge_type string")
     nodes = sorted({f"s{i:03d}" for i in range(60)} | {"far"})
