@@ -231,7 +231,7 @@ def test_signatures_are_taken_once_and_by_rows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     for rows in (docs, docs.unionByName(docs.limit(9).withColumn("text", F.lit("other words stand here")))):
         got, plain = ({r["id"]: r["simhash"] for r in f(rows, "id", "text").collect()} for f in (dedup.simhash_md5, dedup.simhash_native))
-        assert got == plain and 30 not in got and len(got) > 20
+        assert got == plain and not {30, 31, 32} & set(got) and len(got) > 20
     plan = dedup.near_pairs(dedup.simhash_md5(docs, "id", "text"), most=2)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
 
