@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.text import let, price_label
+from loomspark.scratch import materialize
 
 #: What predicates, values, channels and personas are called, and sizes.
 PREDICATES = {
@@ -74,9 +75,11 @@ def contexts(results: DataFrame, chunks: DataFrame, facts: DataFrame, k: int) ->
 
     Results are (query_id, id, rank, path), chunks (id, listing, text, source_url), facts (fact_id, listing,
     predicate, value_text, value_num, valid_to, source_url). Facts are those of the results' listings, as many as
-    min(24, max(4 k, 8)), by predicate and id.
+    min(24, max(4 k, 8)), by predicate and id. Results are of a stated set of questions: they are written first, so
+    that they are found once and no text or fact of another chunk travels to them.
     """
-    found = results.where(F.col("rank") <= k).join(chunks, "id")
+    results = materialize(results, "context-results")
+    found = materialize(results.where(F.col("rank") <= k).join(chunks, "id"), "context-found")
     budget = min(MAX_FACTS, max(4 * k, 8))
     of = found.select("query_id", "listing").distinct().join(facts, "listing")
     first = of.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("predicate", "fact_id"))).where(F.col("i") <= budget)

@@ -168,7 +168,6 @@ def test_sampled_permutation_and_bootstrap(spark):
     means = sorted(sum(rng.choices(near, k=40)) / 40 for _ in range(10_000))
     assert spans["one"] == (None, None) and all(abs(x - means[at]) < 0.05 for x, at in zip(spans["near"], (250, 9750), strict=True))
 
-
 def test_statistics_queries_take_every_customer(spark, tmp_path):
     from loomspark.plans import catalogue
 
@@ -313,6 +312,39 @@ def test_bm25_prefers_rare_terms_and_is_never_negative(spark):
     assert [r["id"] for r in got][0] == 2 and all(r["score"] > 0 for r in got) and 4 not in [r["id"] for r in got]
 
 
+def test_searches_deal_out_no_postings(spark):
+    """Postings, counts and BM25 come from the texts where they lie, and a task gives its best k alone."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "đ" * 61, "é à"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    held = index.build(docs)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan(held.postings) and "Exchange hash" not in plan(retrieval.term_frequency(held.chunks.select("id", "text"), "id", "text"))
+    plain = {}
+    for i, t in enumerate(texts):
+        w = [] if t is None or len(t) > 60 else t.replace("é", "e").replace("à", "a").split()
+        plain[i] = w + [f"{a}_{b}" for a, b in zip(w, w[1:])]
+    assert {(r["id"], r["term"]): (r["tf"], r["dl"]) for r in held.postings.collect()} == {(i, x): (t.count(x), len(t)) for i, t in plain.items() for x in t}
+    df = {x: sum(x in t for t in plain.values()) for t in plain.values() for x in t}
+    assert {r["term"]: r["df"] for r in index.document_frequency(held).collect()} == df
+    assert {r["id"]: r["n_terms"] for r in index.term_numbers(held).collect()} == {i: len(set(t)) for i, t in plain.items()}
+    mean = sum(map(len, plain.values())) / sum(map(bool, plain.values()))
+    assert (held.n_docs, held.avgdl) == (303, mean)
+    score = lambda q, t: sum(math.log(1 + (303 - df[x] + 0.5) / (df[x] + 0.5)) * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * max(len(t), 1) / mean)) for x in q if x in t)
+    asked = {1: ["a", "b", "c", "a_b", "b_c"], 2: ["e", "a", "e_a"], 3: ["zz"]}
+    got = retrieval.bm25_index(held, spark.createDataFrame([(1, "a b c"), (2, "e a"), (3, "zz"), (4, None)], "query_id long, query string"), 5).collect()
+    for q, own in asked.items():
+        best = sorted(((-round(score(own, t), 9), i) for i, t in plain.items() if score(own, t) > 0))[:5]
+        assert [(-round(r["score"], 9), r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best
+    wide = blocks.term_scores(held.texts, spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>"), 5, held.facts, 1.5, 0.75)
+    assert wide.count() <= 5 * wide.rdd.getNumPartitions() < 100
+
+
+def test_repeated_ids_are_counted_together(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a")], "id long, text string")
+    assert {(r["id"], r["term"]): r["tf"] for r in retrieval.term_frequency(rows, "id", "text").collect()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 1, (1, "a_b"): 1, (1, "a_c"): 1, (2, "a"): 1}
+    assert {r["term"]: r["df"] for r in index.document_frequency(index.build(rows)).collect()} == {"a": 2, "b": 1, "c": 1, "a_b": 1, "a_c": 1}
+
 def test_upsert_and_reconcile(spark):
     old = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u2")], "k int, h string, u string")
     new = spark.createDataFrame([(2, "c", "n2"), (3, "d", "n3")], "k int, h string, u string")
