@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,10 @@ from loomspark.scratch import materialize
 #: Fixed values.
 RATIOS = (("train", 0.70), ("validation", 0.85), ("test", 1.0))
 EXACT_PAIRS, BOOTSTRAPS, PERMUTATIONS = 14, 10_000, 20_000
-#: Draws of a row.
-DRAWS = 200
+#: Draws of a row, and values of a key that are hashed at once.
+DRAWS, PIECE = 500, 8192
+#: Constants of xxhash64.
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 PRICE_BANDS = ((0, 2e9, "dưới 2 tỷ"), (2e9, 3e9, "từ 2 đến 3 tỷ"), (3e9, 5e9, "từ 3 đến 5 tỷ"), (5e9, 1e10, "từ 5 đến 10 tỷ"), (1e10, float("inf"), "trên 10 tỷ"))
 AREA_TOLERANCE, PER_TYPE = 0.15, 12
 CLAIM_HINTS = ("gia", "dien tich", "phong ngu", "phong tam", "so hong", "so do", "phap ly", "tien ich", "ho boi", "cong vien", "truong hoc", "thang may", "m2", "ty", "trieu")
@@ -57,12 +61,25 @@ def score_queries(results: DataFrame, expected: DataFrame) -> DataFrame:
 
     Group precision counts results, item precision distinct items, both as a share of what is reachable; measures of groups are null where none is expected.
     """
-    joined = results.join(expected, ["query_id", "config"] if "config" in expected.columns else "query_id", "right")
-    right_group, right_item = F.array_contains("groups", F.col("group")), F.array_contains("items", F.col("item"))
+    keys = ["query_id", "config"] if "config" in expected.columns else ["query_id"]
+    results = materialize(results, "results")
+    return _scored(results, expected.select(*keys, "groups", F.size("items").alias("_size")), _right(results, expected), keys)
+
+
+def _right(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, item) of the expected items, and config where they have one, that some result names: an expected list may be as long as the corpus, so it is not joined to each result."""
+    keys = ["query_id", "config"] if "config" in expected.columns else ["query_id"]
+    one = expected.select(*keys, F.explode("items").alias("item"))
+    return one.join(results.select(*keys, "item").distinct(), [*keys, "item"], "left_semi").distinct().withColumn("_right", F.lit(True))
+
+
+def _scored(results: DataFrame, sizes: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    joined = results.join(right, [c for c in right.columns if c != "_right"], "left").join(sizes, keys, "right")
+    right_group, right_item = F.array_contains("groups", F.col("group")), F.col("_right")
     agg = joined.groupBy("config", "query_id").agg(
         F.count("item").alias("n"), F.count_if(right_group).alias("n_group"), F.count_distinct("item").alias("n_items"),
         F.count_distinct(F.when(right_item, F.col("item"))).alias("n_right"), F.min(F.when(right_group, F.col("rank"))).alias("first"),
-        F.max(F.size("items")).alias("n_expected"), F.max(F.size("groups")).alias("n_groups"),
+        F.max("_size").alias("n_expected"), F.max(F.size("groups")).alias("n_groups"),
     )
     ceiling = F.least(F.lit(1.0), F.try_divide("n_expected", "n_items"))
     return agg.select(
@@ -78,8 +95,9 @@ def score_queries(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 def score_configs(results: DataFrame, expected: DataFrame, configs: Sequence[str]) -> DataFrame:
     """:func:`score_queries` of each config in ``configs`` for each question in ``expected``, also where it found nothing."""
-    every = expected.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
-    return score_queries(results, every)
+    results = materialize(results, "results")
+    sizes = expected.select("query_id", "groups", F.size("items").alias("_size"), F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"))
+    return _scored(results, sizes, _right(results, expected), ["query_id", "config"])
 
 
 def mean_scores(scored: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -157,13 +175,78 @@ def exact_permutation(diffs: DataFrame, keys: list[str]) -> DataFrame:
     return flipped.groupBy(*keys, "n").agg(F.count_if(F.col("v") >= F.col("seen") - 1e-12).alias("extreme"), F.count("*").alias("patterns")).withColumn("p_value", F.bround(F.col("extreme") / F.col("patterns"), 5))
 
 
-def _draws(values: DataFrame, keys: list[str], n: int, of) -> DataFrame:
-    """(keys, n, seen, _draw, m): ``of(draw, d)`` for ``n`` draws from the array d of each key, nulls dropped; blocks of draws are rows."""
-    held = values.where("d is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "d")))["d"].alias("d"), F.count("*").alias("n"), F.abs(F.avg("d")).alias("seen"))
+def _mixed(h: np.uint64, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of ints with the seed ``h``, in ``a``; ``x`` is :func:`_spread` of the ints, ``b`` room for as many."""
+    np.bitwise_xor(x, h + _P5 + np.uint64(4), out=a)
+    np.left_shift(a, np.uint64(23), out=b)
+    np.right_shift(a, np.uint64(41), out=a)
+    a |= b
+    a *= _P2
+    a += _P3
+    for by, factor in ((33, _P2), (29, _P3), (32, None)):
+        np.right_shift(a, np.uint64(by), out=b)
+        a ^= b
+        if factor is not None:
+            a *= factor
+    return a
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64) * _P1
+
+
+def _flipped(d: np.ndarray) -> Callable:
+    """Sum of a piece of the differences with the signs that their hashes give."""
+
+    def of(h: np.ndarray, piece: np.ndarray, whole: float) -> float:
+        h &= np.uint64(1)
+        return whole - 2.0 * float(h.view(np.int64).astype(np.float64) @ piece)
+
+    return of
+
+
+def _drawn(d: np.ndarray) -> Callable:
+    """Sum of the values that the hashes of a piece pick from all."""
+
+    def of(h: np.ndarray, piece: np.ndarray, whole: float) -> float:
+        h, n = h.view(np.int64), len(d)
+        return float(d.take(h - h // n * n).sum())
+
+    return of
+
+
+def _draws(values: DataFrame, keys: list[str], n: int, seed: int, flips: bool) -> DataFrame:
+    """(keys, n, seen, _draw, m): means of ``n`` draws from the values d of each key by (i), nulls dropped; blocks of draws are rows.
+
+    A draw flips the values' signs, or picks as many of them, by Spark's hash of (seed, draw, place); in Python, for
+    a PIECE of places at a time, as a lambda of Spark takes some fifty times as long for each.
+    """
+    held = values.where("d is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.col("d").cast("double").alias("d"))))["d"].alias("d"), F.count("*").alias("n"), F.abs(F.avg("d")).alias("seen"))
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = held.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS)))).repartition(tasks, *keys, "_from")
-    draws = F.sequence(F.col("_from"), F.least(F.col("_from") + DRAWS, F.lit(n)) - 1)
-    return blocks.select(*keys, "n", "seen", F.explode(F.transform(draws, lambda x: F.struct(x.alias("draw"), of(x, F.col("d")).alias("m")))).alias("x")).select(*keys, "n", "seen", F.col("x.draw").alias("_draw"), "x.m")
+    blocks = held.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS)))).repartition(tasks, *keys, "_from").select(*keys, "n", "seen", "_from", "d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = np.empty((2, max(PIECE, DRAWS)), np.uint64)
+        with np.errstate(over="ignore"):
+            first = _mixed(np.uint64(42), _spread(np.array([seed])), *room[:, :1])[0]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                d = batch.column("d").slice(at, 1).flatten().to_numpy(zero_copy_only=False)
+                begin = batch.column("_from")[at].as_py()
+                draws = np.arange(begin, min(begin + DRAWS, n))
+                with np.errstate(over="ignore"):
+                    starts = _mixed(first, _spread(draws), *room[:, : len(draws)]).copy()
+                    of, sums = (_flipped if flips else _drawn)(d), np.zeros(len(draws))
+                    for low in range(0, len(d), PIECE):
+                        piece = d[low : low + PIECE]
+                        places, whole, own = _spread(np.arange(low, low + len(piece))), float(piece.sum()), room[:, : len(piece)]
+                        for j, h in enumerate(starts):
+                            sums[j] += of(_mixed(h, places, *own), piece, whole)
+                same = pa.array(np.full(len(draws), at))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in (*keys, "n", "seen")], pa.array(draws.astype(np.int32)), pa.array(sums / len(d))], [*keys, "n", "seen", "_draw", "m"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name not in ("_from", "d"))
+    return blocks.mapInArrow(run, f"{kinds}, _draw int, m double")
 
 
 def permutation_test(diffs: DataFrame, keys: list[str], n: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
@@ -176,24 +259,15 @@ def permutation_test(diffs: DataFrame, keys: list[str], n: int = PERMUTATIONS, s
     few = rows.where(F.col("_n") <= EXACT_PAIRS).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1).drop("_n")
     exact = exact_permutation(few, keys).select(*keys, "n", F.lit("exact").alias("method"), "extreme", "patterns", "p_value")
 
-    def flipped(draw: Column, d: Column) -> Column:
-        signed = F.transform(d, lambda x, i: F.when(F.xxhash64(F.lit(seed), draw, i).bitwiseAND(F.lit(1)) == 1, -x).otherwise(x))
-        return F.abs(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.size(d))
-
-    drawn = _draws(rows.where(F.col("_n") > EXACT_PAIRS), keys, n, flipped).groupBy(*keys, "n")
-    sampled = drawn.agg(F.count_if(F.col("m") >= F.col("seen") - 1e-12).alias("extreme"), F.count("*").alias("patterns"), F.max("seen").alias("seen"))
+    drawn = _draws(rows.where(F.col("_n") > EXACT_PAIRS), keys, n, seed, True).groupBy(*keys, "n")
+    drawn = drawn.agg(F.count_if(F.abs("m") >= F.col("seen") - 1e-12).alias("extreme"), F.count("*").alias("patterns"), F.max("seen").alias("seen"))
     p = F.when(F.col("seen") == 0, 1.0).otherwise(F.bround((F.col("extreme") + 1) / (F.col("patterns") + 1), 5))
-    return exact.unionByName(sampled.select(*keys, "n", F.lit("monte_carlo").alias("method"), "extreme", "patterns", p.alias("p_value")))
+    return exact.unionByName(drawn.select(*keys, "n", F.lit("monte_carlo").alias("method"), "extreme", "patterns", p.alias("p_value")))
 
 
 def bootstrap_interval(values: DataFrame, keys: list[str], n: int = BOOTSTRAPS, seed: int = 7) -> DataFrame:
     """95 % percentile interval of the mean of (keys, i, d): hashed draws, bounds at the floor indices; null for fewer than 2 values."""
-
-    def resampled(draw: Column, d: Column) -> Column:
-        picked = lambda pick: F.get(d, F.pmod(F.xxhash64(F.lit(seed), draw, pick), F.size(d)).cast("int"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(d) - 1), F.lit(0.0), lambda s, pick: s + picked(pick)) / F.size(d)
-
-    means = _draws(values, keys, n, resampled)
+    means = _draws(values, keys, n, seed, False)
     r = means.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "_draw")) - 1).where(F.col("r").isin(int(0.025 * n), int(0.975 * n)))
     at = lambda share: F.max(F.when((F.col("r") == int(share * n)) & (F.col("n") > 1), F.col("m")))
     return r.groupBy(*keys).agg(at(0.025).alias("low"), at(0.975).alias("high"))

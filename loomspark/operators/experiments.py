@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspark.operators.evaluation import bootstrap_interval, paired_summary, permutation_test
 from loomspark.operators.generation import CHANNELS
+from loomspark.scratch import materialize
 
 #: Pairs that differ in one factor; measures that are compared, and whether less is better.
 PAIRS = (("A", "B", "retrieval"), ("C", "D", "retrieval"), ("A", "C", "adapter"), ("B", "D", "adapter"))
@@ -75,7 +76,7 @@ def compare_all(scored: DataFrame) -> DataFrame:
 def compare_tests(scored: DataFrame) -> DataFrame:
     """For each pair and measure, p of the permutation test and the bootstrap interval of the difference."""
     keys = ["pair", "metric"]
-    diffs = pairs(scored).select(*keys, F.col("brief_no").alias("i"), (F.col("after") - F.col("before")).alias("d"))
+    diffs = materialize(pairs(scored).select(*keys, F.col("brief_no").alias("i"), (F.col("after") - F.col("before")).alias("d")), "diffs")
     return permutation_test(diffs, keys).join(bootstrap_interval(diffs, keys), keys, "left")
 
 

@@ -168,6 +168,22 @@ def test_sampled_permutation_and_bootstrap(spark):
     means = sorted(sum(rng.choices(near, k=40)) / 40 for _ in range(10_000))
     assert spans["one"] == (None, None) and all(abs(x - means[at]) < 0.05 for x, at in zip(spans["near"], (250, 9750), strict=True))
 
+
+def test_draws_are_those_of_spark_s_hash(spark):
+    rng = random.Random(8)
+    rows = [("a", i, rng.gauss(0.1, 1)) for i in range(37)] + [("b", i, float(i % 3)) for i in range(9000)] + [("b", 9001, None)]
+    d = spark.createDataFrame(rows, "k string, i int, d double")
+    whole = d.where("d is not null").groupBy("k").agg(F.expr("array_sort(collect_list(struct(i, d))).d").alias("d")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    signs = F.aggregate(F.transform("d", lambda x, i: F.when(F.xxhash64(F.lit(42), "draw", i).bitwiseAND(F.lit(1)) == 1, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
+    picks = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, p: s + F.get("d", F.pmod(F.xxhash64(F.lit(7), "draw", p), F.size("d")).cast("int")))
+    plain = {(r["k"], r["draw"]): (r["s"], r["p"]) for r in whole.select("k", "draw", (signs / F.size("d")).alias("s"), (picks / F.size("d")).alias("p")).collect()}
+    for flips, seed, at in ((True, 42, 0), (False, 7, 1)):
+        drawn = evaluation._draws(d, ["k"], 20, seed, flips)
+        assert "xxhash64" not in drawn._jdf.queryExecution().executedPlan().toString()
+        got = {(r["k"], r["_draw"]): r["m"] for r in drawn.collect()}
+        assert set(got) == set(plain) and all(math.isclose(got[x], plain[x][at], abs_tol=1e-12) for x in plain)
+
+
 def test_statistics_queries_take_every_customer(spark, tmp_path):
     from loomspark.plans import catalogue
 
@@ -345,6 +361,17 @@ def test_repeated_ids_are_counted_together(spark):
     assert {(r["id"], r["term"]): r["tf"] for r in retrieval.term_frequency(rows, "id", "text").collect()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 1, (1, "a_b"): 1, (1, "a_c"): 1, (2, "a"): 1}
     assert {r["term"]: r["df"] for r in index.document_frequency(index.build(rows)).collect()} == {"a": 2, "b": 1, "c": 1, "a_b": 1, "a_c": 1}
 
+
+def test_long_expected_lists_are_not_joined_to_results(spark):
+    """Before, each result carried the whole list of expected items."""
+    expected = spark.createDataFrame([(1, ["g"], list(range(500))), (2, [], [7])], "query_id long, groups array<string>, items array<long>")
+    found = spark.createDataFrame([("c", 1, 3, "g", 1), ("c", 1, 900, "h", 2), ("c", 2, 8, "g", 1)], "config string, query_id long, item long, group string, rank int")
+    scored = evaluation.score_configs(found, expected, ["c", "d"])
+    got = {(r["config"], r["query_id"]): (r["group_precision"], r["item_precision"], r["recall"], r["mrr"]) for r in scored.collect()}
+    assert got == {("c", 1): (0.5, 0.5, 0.002, 1.0), ("c", 2): (None, 0.0, 0.0, None), ("d", 1): (0.0, 0.0, 0.0, 0.0), ("d", 2): (None, 0.0, 0.0, None)}
+    assert "array_contains(items" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_and_reconcile(spark):
     old = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u2")], "k int, h string, u string")
     new = spark.createDataFrame([(2, "c", "n2"), (3, "d", "n3")], "k int, h string, u string")
