@@ -141,6 +141,16 @@ def test_sentence_packing_equals_a_plain_loop(spark):
     assert {r["i"]: r["c"] for r in rows} == dict(enumerate(map(plain, texts)))
 
 
+def test_sentence_packing_is_no_fold_of_expressions(spark):
+    """Its state was copied for each sentence. White space is Java's, as in the fold: no separators \\x1c to \\x1f."""
+    rows = [(1, "\xa0\x1cone.\x1ctwo.\u2003\u2028"), (2, None), (3, " \n\u3000"), (4, "\u2003" + "a" * 650 + ".\xa0b. " + "c" * 80 + ".\x1f\n\n\xa0 d")]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", facts.pack_sentences(F.col("t")).alias("c"))
+    first = "a" * 650 + ".\xa0b."
+    second = first[-120:] + " " + "c" * 80 + ".\x1f d"
+    assert {r["i"]: r["c"] for r in df.collect()} == {1: ["\x1cone.\x1ctwo."], 2: [], 3: [], 4: [first, second]}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_statistics_with_known_answers(spark):
     d = spark.createDataFrame([("k", i, float(x)) for i, x in enumerate([1, 2, 3, 4])], "k string, i int, d double")
     p = evaluation.exact_permutation(d, ["k"]).first()
