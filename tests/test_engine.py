@@ -366,6 +366,52 @@ def test_searches_deal_out_no_postings(spark):
     assert wide.count() <= 5 * wide.rdd.getNumPartitions() < 100
 
 
+def test_tokens_of_a_batch_equal_a_plain_loop():
+    """Found on the bytes of all texts at once, without a Python string for each; slices, nulls, texts without a gap, long tokens and neighbours of none."""
+    import inspect
+    from collections import Counter
+
+    import pyarrow as pa
+    from loomspark.operators import tokens
+
+    rng = random.Random(5)
+    bits = ["a", "b7", "xy", " ", "_", "é", "đ", "A", "\n", "z" * 60, "z" * 61, "😀", "word ", "word "]
+    texts = [None, "", "ab", "ab", "ab cd ", " ab", "y" * 70, "a " + "y" * 70 + " b"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "b"]
+    for column in (pa.array(texts), pa.array(["x y", *texts, "x"]).slice(1, len(texts)), pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None, "", "é"])):
+        plain = [text.flat_tokens(t) for t in column.to_pylist()]
+        found, number = tokens.split(column)
+        assert found.to_pylist() == [t for own in plain for t in own] and number.tolist() == [len(own) for own in plain]
+        words, (row, word, tf), (of, left, right, twice), dl = tokens.counted(column)
+        w = words.to_pylist()
+        assert dict(zip(zip(row.tolist(), [w[i] for i in word]), tf.tolist())) == dict(Counter((i, t) for i, own in enumerate(plain) for t in own))
+        assert dict(zip(zip(of.tolist(), [w[i] for i in left], [w[i] for i in right]), twice.tolist())) == dict(Counter((i, a, b) for i, own in enumerate(plain) for a, b in zip(own, own[1:])))
+        assert dl.tolist() == [max(2 * len(own) - 1, 0) for own in plain]
+    assert [len(t) for t in tokens.split(pa.array(texts), None)[0].to_pylist()] == [len(t) for x in texts for t in text._TOKEN.findall(x or "")]
+    for f in (blocks._term_batch, blocks._token_batch, blocks.term_counts, index.postings, index.term_numbers):
+        assert "to_pylist" not in inspect.getsource(f)
+
+
+def test_words_hold_tokens_however_many_hits(monkeypatch):
+    """Across blocks of hits, words that are remembered or forgotten, and ends of words."""
+    ahocorasick = pytest.importorskip("ahocorasick")
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "HITS", 7)
+    monkeypatch.setattr(blocks, "KNOWN", 60)
+    tokens = ["a", "ab", "b", "abab", "c", "zz"]
+    found = ahocorasick.Automaton()
+    for i, t in enumerate(tokens):
+        found.add_word(t, i)
+    found.make_automaton()
+    rng, within = random.Random(2), blocks._Within(found, len(tokens))
+    for _ in range(20):
+        words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(25)} | {"ab" * 50, "d"})
+        rng.shuffle(words)
+        at = within.of(pa.array(words, pa.large_string()))
+        assert [within.tokens[within.first[i] : within.first[i + 1]].tolist() for i in at] == [[i for i, t in enumerate(tokens) if t in w] for w in words]
+        assert len(within.words) <= 60
+
+
 def test_repeated_ids_are_counted_together(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a")], "id long, text string")
     assert {(r["id"], r["term"]): r["tf"] for r in retrieval.term_frequency(rows, "id", "text").collect()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 1, (1, "a_b"): 1, (1, "a_c"): 1, (2, "a"): 1}
