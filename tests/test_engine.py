@@ -511,3 +511,24 @@ def test_index_is_built_anew_after_a_release(spark, tmp_path):
     scratch.release(spark)
     assert not scratch._written and catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).count() == 1
     scratch._written.extend(held)
+
+
+def _prose(rng, n, words):
+    return [" ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_many_questions_read_the_texts_once_by_bm25(spark, monkeypatch):
+    """Bounds from some of the texts change no result; copies of a question are searched for once. Before, each thousand questions read all texts again."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts, asked = _prose(rng, 400, words), _prose(rng, 30, words) * 40
+    held = index.build(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3))
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = retrieval.bm25_index(held, queries, 5)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    monkeypatch.setattr(blocks, "MANY", 10)
+    monkeypatch.setattr(blocks, "SOME", 2)
+    bounded, every = retrieval.bm25_index(held, queries, 5).collect(), retrieval.bm25_index(held, queries.where("query_id < 30"), None).where("rank <= 5").collect()
+    plain = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in every}
+    for rows in (got.collect(), bounded):
+        assert len(rows) == 40 * len(plain) and all(plain[r["query_id"] % 30, r["rank"]] == (r["id"], pytest.approx(r["score"], abs=1e-8)) for r in rows)
