@@ -532,3 +532,48 @@ def test_many_questions_read_the_texts_once_by_bm25(spark, monkeypatch):
     plain = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in every}
     for rows in (got.collect(), bounded):
         assert len(rows) == 40 * len(plain) and all(plain[r["query_id"] % 30, r["rank"]] == (r["id"], pytest.approx(r["score"], abs=1e-8)) for r in rows)
+
+
+def _run(batch, asked, with_, edge, texts, k):
+    import pyarrow as pa
+
+    table = pa.table({"id": pa.array(range(len(texts))), "flat": texts, "project": pa.nulls(len(texts), pa.string())})
+    told = type("Told", (), {"value": (asked, with_, edge)})
+    return [r for b in batch(told, k)(iter(table.to_batches(max_chunksize=70))) for r in b.to_pylist()]
+
+
+def test_many_questions_read_the_texts_once_by_tokens(spark, monkeypatch):
+    """As by BM25, with the ties of shares; and frequent tokens no longer lead to every text."""
+    pytest.importorskip("ahocorasick")
+    import numpy as np
+
+    rng = random.Random(7)
+    words = [a + b for a in ("", "b", "st", "q") for b in ("an", "on", "in", "er", "ou", "ath", "a1", "zz", "k", "lo")]
+    texts, asked = _prose(rng, 500, words), [t for t in _prose(rng, 60, words) if t][:40] * 30
+    tokens = [list(dict.fromkeys(x for x in q.split() if len(x) > 1)) for q in asked[:40]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, flat string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = retrieval.token_fraction(rows, queries, 5)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    plain = {}
+    for q, own in enumerate(tokens):
+        found = sorted((-sum(t in x for t in own) / len(own), i) for i, x in enumerate(texts) if any(t in x for t in own))[:5]
+        plain |= {(q, i + 1): (d, -s) for i, (s, d) in enumerate(found)}
+    monkeypatch.setattr(blocks, "MANY", 10)
+    monkeypatch.setattr(blocks, "SOME", 2)
+    for one in (got.collect(), retrieval.token_fraction(rows, queries, 5).collect()):
+        assert len(one) == 30 * len(plain) and all(plain[r["query_id"] % 40, r["rank"]] == (r["id"], r["score"]) for r in one)
+
+    monkeypatch.setattr(blocks, "ROWS", 10)
+    monkeypatch.setattr(blocks, "STEP", 2)
+    names = list(dict.fromkeys(t for own in tokens for t in own))
+    first, term = np.cumsum([0, *map(len, tokens)]), np.array([names.index(t) for own in tokens for t in own], np.int32)
+    asked_ = blocks._Asked([[i] for i in range(40)], [None] * 40, first, term, np.ones(len(term)), np.diff(first).astype(float), -np.array([len(t) for t in names]), 1.0)
+    held = []
+    real = blocks._Sums
+    monkeypatch.setattr(blocks, "_Sums", lambda *a: held.append(real(*a)) or held[-1])
+    edge = np.array([plain[q, 5][1] if (q, 5) in plain else -np.inf for q in range(40)])
+    for at in (None, edge):
+        best = _run(blocks._token_batch, asked_, names, at, texts, 5)
+        assert {(r["query_id"], r["id"]): r["score"] for r in best} == {(q, d): s for (q, _), (d, s) in plain.items()}
+        assert len(held[-1].lead_of) < 0.7 * len(term)
